@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import mixing, token_counts
+from tidewell.llm import mixing, piece_bpe, token_counts, token_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op3_token_tables": token_tables.op3_token_tables,
+        "op5_piece_bpe": piece_bpe.op5_piece_bpe,
         "op7_mixing": mixing.op7_mixing,
         "op10_token_counts": token_counts.op10_token_counts,
     }
