@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import mixing, piece_bpe, token_counts, token_tables
+from tidewell.llm import mixing, piece_bpe, token_counts, token_tables, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,7 @@ def queries() -> dict[str, Query]:
         "op3_token_tables": token_tables.op3_token_tables,
         "op5_piece_bpe": piece_bpe.op5_piece_bpe,
         "op7_mixing": mixing.op7_mixing,
+        "op9_warc": warc.op9_warc,
         "op10_token_counts": token_counts.op10_token_counts,
     }
 
