@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import mixing, piece_bpe, token_counts, token_tables, warc
+from tidewell.llm import knn_join, mixing, piece_bpe, token_counts, token_tables, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,7 @@ def queries() -> dict[str, Query]:
     return {
         "op3_token_tables": token_tables.op3_token_tables,
         "op5_piece_bpe": piece_bpe.op5_piece_bpe,
+        "op6_knn_join": knn_join.op6_knn_join,
         "op7_mixing": mixing.op7_mixing,
         "op9_warc": warc.op9_warc,
         "op10_token_counts": token_counts.op10_token_counts,
@@ -22,4 +23,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing": mixing.OP7_SQL}
+    return {"op6_knn_join": knn_join.OP6_SQL, "op7_mixing": mixing.OP7_SQL}
