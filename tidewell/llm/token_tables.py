@@ -22,6 +22,7 @@ import bisect
 import hashlib
 import math
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
@@ -44,7 +45,8 @@ BLOCK_BYTES = 1 << 16
 #: Text that one shard takes, about; a longer document makes a larger shard.
 SHARD_TEXT_BYTES = 12 << 20
 BITS_A_KEY = 10
-REMEMBERED = 300_000
+#: Words that a worker remembers.
+REMEMBERED = 500_000
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -194,29 +196,62 @@ class Shard:
         return found
 
 
-class WordCache:
-    """Encodes texts exactly as the library does, each distinct run between spaces and line ends once.
+#: Letters of Latin-1, in lower case, as the tokenizer's pattern takes them.
+LETTERS = "a-zªµºßà-öø-ÿ"
+PARTS = re.compile(f"[{LETTERS}]+|[^{LETTERS} \n]+")
+WORD = re.compile(f"[{LETTERS}]+")
+
 
-    The tokenizer's own splitting drops white space and never matches across it,
-    and its normaliser and special strings don't either, so runs are independent.
+class WordCache:
+    """Encodes texts exactly as the library does, each distinct word once.
+
+    The tokenizer drops white space, and neither its splitting, its normaliser nor
+    its special strings reach across it, so the runs between spaces and line ends
+    are independent. In a text of Latin-1 characters without apostrophe or special
+    string, lower case is the whole normalisation, and a run of letters is one
+    word for the model; what stands between such words, and all runs of any other
+    text, goes to the library unchanged. The table is emptied when it is full.
     """
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.id_bytes = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = f"<u{self.id_bytes}"
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {"": b""}
+        # The model reads bytes as characters: printable ones as themselves, others in order from 256 on.
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [x for x in range(256) if x not in plain]
+        self.alphabet = {x: 256 + i for i, x in enumerate(rest)}
+
+    def _split(self, text: str) -> list[str]:
+        if "'" not in text and "<|" not in text:
+            try:
+                text.encode("latin-1")
+                return PARTS.findall(text.lower())
+            except UnicodeEncodeError:
+                pass
+        return text.replace("\n", " ").split(" ")
+
+    def _learn(self, fresh: list[str]) -> None:
+        known, others, pack = self.known, [], struct.Struct
+        one, tokenize = "H" if self.id_bytes == 2 else "I", self.tokenizer.model.tokenize
+        for run in fresh:
+            if WORD.fullmatch(run):
+                ids = [t.id for t in tokenize(run if run.isascii() else run.encode().decode("latin-1").translate(self.alphabet))]
+                known[run] = pack(f"<{len(ids)}{one}").pack(*ids)
+            else:
+                others.append(run)
+        for at in range(0, len(others), 8192):
+            part = others[at : at + 8192]
+            known.update((run, np.array(e.ids, self.kind).tobytes()) for run, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if len(self.known) > REMEMBERED:
+            self.known = {"": b""}
         known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        runs = [t.replace("\n", " ").split(" ") for t in texts]
-        fresh = [w for w in dict.fromkeys(w for run in runs for w in run) if w not in known]
-        for at in range(0, len(fresh), 8192):
-            part = fresh[at : at + 8192]
-            known.update((w, np.array(e.ids, self.kind).tobytes()) for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True))
-        return [np.frombuffer(b"".join(map(known.__getitem__, run)), self.kind) for run in runs]
+        split = [self._split(t) for t in texts]
+        self._learn(list(set().union(*split).difference(known)))
+        return [np.frombuffer(b"".join(map(known.__getitem__, run)), self.kind) for run in split]
 
 
 _caches: dict[str, WordCache] = {}
