@@ -60,6 +60,15 @@ def delete_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(conf).delete(where, True)
 
 
+#: A side of at most so many rows of a few numbers is broadcast (32 MB or so); a larger one is shuffled.
+BROADCAST_ROWS = 2_000_000
+
+
+def join_checked(df: DataFrame, keys: DataFrame, on: list[str], how: str, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df joined to a materialised table of narrow rows, which is broadcast only if counted to be small."""
+    return df.join(F.broadcast(keys) if keys.count() <= most else keys.hint("shuffle_hash"), on, how)
+
+
 def null_safe_key(name: str) -> list[Column]:
     """Columns to join on instead of a nullable long column: nulls meet nulls."""
     return [F.col(name).isNull().alias("_key_null"), F.coalesce(F.col(name), F.lit(0)).cast("long").alias("_key")]

@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import knn_join, mixing, piece_bpe, token_counts, token_tables, warc
+from tidewell.llm import knn_join, mixing, near_dup, piece_bpe, token_counts, token_tables, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_near_dup": near_dup.op1_near_dup,
         "op3_token_tables": token_tables.op3_token_tables,
         "op5_piece_bpe": piece_bpe.op5_piece_bpe,
         "op6_knn_join": knn_join.op6_knn_join,
@@ -23,4 +24,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_knn_join": knn_join.OP6_SQL, "op7_mixing": mixing.OP7_SQL}
+    return {"op1_near_dup": near_dup.OP1_SQL, "op6_knn_join": knn_join.OP6_SQL, "op7_mixing": mixing.OP7_SQL}
