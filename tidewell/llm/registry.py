@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import knn_join, mixing, near_dup, piece_bpe, token_counts, token_tables, warc
+from tidewell.llm import knn_join, mixing, near_dup, piece_bpe, quality_classifier, quality_rules, token_counts, token_tables, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,10 +14,13 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_near_dup": near_dup.op1_near_dup,
+        "op2_quality": quality_classifier.op2_quality,
         "op3_token_tables": token_tables.op3_token_tables,
+        "op4_quality_rules": quality_rules.op4_quality_rules,
         "op5_piece_bpe": piece_bpe.op5_piece_bpe,
         "op6_knn_join": knn_join.op6_knn_join,
         "op7_mixing": mixing.op7_mixing,
+        "op8_toxicity": toxicity.op8_toxicity,
         "op9_warc": warc.op9_warc,
         "op10_token_counts": token_counts.op10_token_counts,
     }
