@@ -18,6 +18,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
 from tidewell.llm.common import table, text_slices
@@ -316,13 +317,17 @@ def decode_documents(encoded: DataFrame, model_path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def round_trip_digests(docs: DataFrame, model_path: str) -> DataFrame:
-    """Encode and decode in one pass: doc_id, n_tokens, and digests of the ids and of the decoded text."""
+def round_trip_digests(docs: DataFrame, model_path: str, with_ids: bool = False) -> DataFrame:
+    """Encode and decode in one pass: doc_id, n_tokens, digests of the ids and of the decoded text, and the ids if asked for.
+
+    Null and empty texts have no ids. Repeated rows give a row each, a null id stays
+    null, an empty table gives an empty result. Other columns are not read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = model(model_path)
         for part, texts in text_slices(batches, 1):
-            counts, of_ids, of_text = [], [], []
+            counts, of_ids, of_text, all_ids = [], [], [], []
             for ids in bpe.encode(texts):
                 counts.append(len(ids))
                 digest = hashlib.sha256()
@@ -330,9 +335,14 @@ def round_trip_digests(docs: DataFrame, model_path: str) -> DataFrame:
                     digest.update(b"," * (at > 0) + b",".join(map(bpe.decimals.__getitem__, ids[at : at + (1 << 18)].tolist())))
                 of_ids.append(digest.hexdigest())
                 of_text.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(of_ids), pa.array(of_text)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+                all_ids.append(ids)
+            columns = {"doc_id": part.column(0), "n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(of_ids), "decoded_sha256": pa.array(of_text)}
+            if with_ids:
+                columns["ids"] = pa.array(all_ids, pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def op5_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
