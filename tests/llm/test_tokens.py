@@ -35,7 +35,7 @@ def test_pieces_equal_the_library(spark, rnd):
 
 
 def test_tables_round_trip(spark, rnd, tmp_path):
-    rows = [*rows_of(rnd), (None, "no id"), (4, "twice"), (4, "twice")]
+    rows = [*rows_of(rnd), (None, "no id"), (5, "twice"), (5, "twice")]
     path = f"file://{tmp_path}/t"
     token_tables.write_shards(spark.createDataFrame(rows, "doc_id long, text string"), path, WORDS, shard_text_bytes=4000)
     got = token_tables.with_starts(token_tables.read_shards(spark, path)).orderBy("start").collect()
@@ -48,8 +48,8 @@ def test_tables_round_trip(spark, rnd, tmp_path):
         assert r["start"] == start and r["n_tokens"] == len(r["ids"]) and r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes())
         start += r["n_tokens"]
     assert len({r["shard"] for r in got}) > 2
-    found = token_tables.look_up(spark, path, [4, rows[3][0], 10**9]).collect()
-    assert sorted(r["doc_id"] for r in found) == sorted([4, 4, rows[3][0]])
+    found = token_tables.look_up(spark, path, [5, rows[3][0], 10**9]).collect()
+    assert sorted(r["doc_id"] for r in found) == sorted([5, 5, rows[3][0]])
 
 
 def test_tables_of_nothing(spark, tmp_path):

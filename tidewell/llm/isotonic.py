@@ -17,7 +17,7 @@ def binned(df: DataFrame, raw: str, label: str, low: float, high: float, steps:
     return sorted((low + r["bin"] * width, r["n"], int(r["ones"])) for r in rows)
 
 
-def fit(bins: Sequence[tuple[float, int, int]], strength: float = 1.0) -> tuple[list[float], list[float]]:
+def fit(bins: Sequence[tuple[float, float, float]], strength: float = 1.0) -> tuple[list[float], list[float]]:
     """Knots (raw scores, probabilities) by pooling adjacent violators; each pool is drawn to the overall rate by strength rows.
 
     Without rows the probability is one half everywhere.

@@ -45,6 +45,8 @@ MOST_LABELLED = 24_000
 #: Shortest and longest stems, the least log odds of a learned entry and its least log-likelihood ratio against chance, and the largest share of one word in a stem.
 SHORTEST, LONGEST, LEAST_ODDS, LEAST_RATIO, MOST_SHARE = 4, 9, 2.5, 21.0, 0.5
 MOST_ENTRIES = 20_000
+#: What is believed before any label is seen: (raw score, rows, toxic ones); a plain match is toxic, no match isn't.
+PRIOR = [(0.0, 5.0, 0.1), (math.log1p(SEED_WEIGHT), 4.0, 3.6)]
 WORDS = re.compile(r"[^\W\d_]+")
 CLAUSES = re.compile(r"[.!?;:\n]+")
 
@@ -221,7 +223,7 @@ class ToxicityModel:
 
     Of more than most_labelled such rows a sample by a hash of doc_id is taken.
     Labels that are null, or neither 0 nor 1, and rows without id teach nothing.
-    Without labels the lists alone count, and every score is near one half.
+    Without labels the lists and PRIOR alone count.
     """
 
     def __init__(self, docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED) -> None:
@@ -234,7 +236,8 @@ class ToxicityModel:
         self.lexicon = learn_lexicon(joined.where(F.col("fold") != 3).select("toxic", "text"))
         held = joined.where(F.col("fold") == 3)
         told = raw_scores(held, self.lexicon).join(held.select("doc_id", "toxic"), "doc_id")
-        self.knots = isotonic.fit(isotonic.binned(told.withColumn("raw", F.log1p("raw")), "raw", "toxic", 0.0, 8.0, 400))
+        bins = isotonic.binned(told.withColumn("raw", F.log1p("raw")), "raw", "toxic", 0.0, 8.0, 400)
+        self.knots = isotonic.fit(sorted([*bins, *PRIOR]))
 
     def score(self, docs: DataFrame) -> DataFrame:
         """Rows (doc_id, score) of whole texts; null and empty texts match nothing. Repeated rows each give a row."""
