@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 from tidewell.llm.common import materialize, table
 
 #: Queries to a cell on average, and bounds of the number of pivots.
-QUERIES_A_CELL, LEAST_PIVOTS, MOST_PIVOTS = 256, 8, 1024
-QUERIES_A_BLOCK, ROWS_A_BLOCK = 512, 8192
+QUERIES_A_CELL, LEAST_PIVOTS, MOST_PIVOTS = 4096, 8, 512
+#: A row of data goes to every block of queries that may need it, so blocks of queries are as large as memory easily holds.
+QUERIES_A_BLOCK, ROWS_A_BLOCK = 16_384, 32_768
 SLACK = 1e-9
 
 
@@ -58,6 +59,15 @@ def _distances(x: np.ndarray, extra: np.ndarray, pivots: np.ndarray) -> np.ndarr
     return np.sqrt(np.maximum(squares, 0))
 
 
+def _dealt(asks: bool, cell: int, block: np.ndarray, salt: np.ndarray, ids: np.ndarray, raw: np.ndarray) -> pa.RecordBatch:
+    """Rows for the blocks of one cell; raw holds a vector's bytes a row."""
+    n, data = len(ids), np.ascontiguousarray(raw)
+    offsets = np.arange(n + 1, dtype=np.int32) * np.int32(data.strides[0])
+    packed = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+    columns = [pa.array(np.full(n, asks)), pa.array(np.full(n, cell, np.int32)), pa.array(block), pa.array(salt), pa.array(ids), packed]
+    return pa.RecordBatch.from_arrays(columns, ["asks", "cell", "block", "salt", "vec_id", "raw"])
+
+
 def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256) -> DataFrame:
     """Rows (query_id, rank, vec_id, score) of the k highest inner products, ties to the smaller vec_id.
 
@@ -132,23 +142,25 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256) ->
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 ids, x = part.column(0).to_numpy(), _matrix(part.column(1), width)
-                raw = [v.tobytes() for v in x.astype("<i2" if small else "<f8")]
+                raw = np.ascontiguousarray(x.astype("<i2" if small else "<f8"))
                 mixed = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)
                 d = _distances(x, np.sqrt(np.maximum(m2 - (x**2).sum(1), 0)), pivots)
                 cell = d.argmin(1)
                 near = d[np.arange(len(d)), cell] * (1 + SLACK) + SLACK
-                out: list[tuple] = []
                 for i in cells:
                     hit = np.flatnonzero(near >= reach[i, cell])
-                    for b in range(blocks[i]):
-                        out += [(False, i, b, int(mixed[h] % np.uint64(salts[i])), int(ids[h]), raw[h]) for h in hit]
+                    if len(hit):
+                        salt = (mixed[hit] % np.uint64(salts[i])).astype(np.int32)
+                        for b in range(blocks[i]):
+                            yield _dealt(False, i, np.full(len(hit), b, np.int32), salt, ids[hit], raw[hit])
                 q = np.flatnonzero(ids % every == 0)
                 if len(q):
                     own = _distances(x[q], np.zeros(len(q)), pivots).argmin(1)
-                    out += [(True, int(i), int(mixed[h] % np.uint64(blocks[i])), s, int(ids[h]), raw[h]) for h, i in zip(q, own, strict=True) for s in range(salts[i])]
-                if out:
-                    kinds = (pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["asks", "cell", "block", "salt", "vec_id", "raw"])
+                    for i in np.unique(own):
+                        h = q[own == i]
+                        block = (mixed[h] % np.uint64(blocks[i])).astype(np.int32)
+                        for s in range(salts[i]):
+                            yield _dealt(True, int(i), block, np.full(len(h), s, np.int32), ids[h], raw[h])
 
     dealt = rows.select("vec_id", "v").mapInArrow(deal, "asks boolean, cell int, block int, salt int, vec_id long, raw binary")
 
