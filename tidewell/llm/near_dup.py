@@ -9,9 +9,12 @@ to the nodes of three more chosen tokens. What is left at the greatest depth is
 compared exhaustively in blocks. Independent trees repeat this until a pair at
 the threshold is met with the wanted probability.
 
-Before the trees, a few shallow ones link members to one hub a node, so that a
-group of thousands of copies becomes a component without its pairs being listed.
-All links are confirmed on the full sets.
+Trees can't part a group of thousands of copies, so such groups are found before:
+in a few shallow trees members whose sketches are like their node's hub form
+clusters. All pairs of a cluster are compared exactly, in blocks of bounded size that
+hold the full sets and give a spanning forest of links instead of pairs. For the
+trees a cluster is then one component: all its pairs are settled. A cluster beyond
+MOST_CLUSTER is left to the trees. All links are confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -33,9 +36,13 @@ TOKENS = 64
 BRANCHES, MOST_DEPTH = 3, 4
 #: A node is compared exhaustively if no more members lie outside its largest component.
 FEW = 16
-#: Shallow trees of two tokens, in which members meet one hub.
-HUB_TREES = 5
+#: Shallow trees of two tokens, in which members meet one hub, and tokens of 64 that must agree for a cluster: a similarity of about a half.
+HUB_TREES, LOOSE = 5, 40
+#: Classes of the largest cluster that is compared exactly, and of a block.
+MOST_CLUSTER, CLUSTER_BLOCK = 1 << 16, 256
 BLOCK = 64
+#: Rows, of a digest and some numbers, that may be broadcast.
+FEW_ROWS = 400_000
 M64 = np.uint64
 
 _rng = np.random.default_rng(20240101)
@@ -221,15 +228,85 @@ def connected(links: DataFrame) -> DataFrame:
     return labels
 
 
-def _hub_pairs(classes: DataFrame, least: int) -> DataFrame:
-    """Pairs of each class and the hub of its node, in shallow trees of two tokens."""
+def _clusters(classes: DataFrame) -> DataFrame:
+    """Rows (digest, cluster) of classes that are like their hub, or a hub, in shallow trees of two tokens."""
     paths = [F.xxhash64(F.lit(-1 - t), F.element_at("tokens", TOKENS - 2 * t), F.element_at("tokens", TOKENS - 2 * t - 1)) for t in range(HUB_TREES)]
     rows = classes.select("digest", "s0", "s1", F.explode(F.array(*paths)).alias("node"))
     hub = F.min(F.struct(F.xxhash64("node", "digest").alias("draw"), "digest", "s0", "s1"))
-    hubs = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), hub.alias("hub")).where(F.col("n") > 1)
-    met = rows.join(hubs, "node").where(F.col("digest") != F.col("hub.digest"))
-    met = met.where(_alike(F.col("s0"), F.col("s1"), F.col("hub.s0"), F.col("hub.s1"), least))
-    return met.select(F.least("digest", "hub.digest").alias("a"), F.greatest("digest", "hub.digest").alias("b")).distinct()
+    hubs = materialize(rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), hub.alias("hub")).where(F.col("n") > 1).select("node", "hub"), "near-hubs")
+    met = join_checked(rows, hubs, ["node"], "inner", FEW_ROWS).where(F.col("digest") != F.col("hub.digest"))
+    met = met.where(_alike(F.col("s0"), F.col("s1"), F.col("hub.s0"), F.col("hub.s1"), LOOSE))
+    return connected(met.select(F.col("digest").alias("a"), F.col("hub.digest").alias("b")).distinct()).select(F.col("node").alias("digest"), F.col("root").alias("cluster"))
+
+
+def _forest(percent: int):
+    """Links of a block: of every pair of documents whose sets are linked, or of different blocks if the block is of two."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        seen: dict[bytes, int] = {}
+        digests = table.column("digest").to_pylist()
+        rows = [i for i, d in enumerate(digests) if seen.setdefault(d, i) == i]
+        sets = [np.frombuffer(table.column("shingles")[i].as_buffer(), M64) for i in rows]
+        sizes = np.array([len(x) for x in sets], np.int64)
+        owner = np.repeat(np.arange(len(sets)), sizes)
+        _, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        shared = np.cumsum(counts > 1) - 1
+        keep = counts[column] > 1
+        owner, column = owner[keep], shared[column[keep]]
+        order = np.argsort(column, kind="stable")
+        owner, column = owner[order], column[order]
+        common = np.zeros((len(sets), len(sets)), np.float32)
+        for low in range(0, int(column[-1]) + 1 if len(column) else 0, 8192):
+            part = slice(*np.searchsorted(column, [low, low + 8192]))
+            held = np.zeros((len(sets), 8192), np.float32)
+            held[owner[part], column[part] - low] = 1
+            common += held @ held.T
+        both = common.astype(np.int64)
+        linked = 100 * both >= percent * (sizes[:, None] + sizes[None] - both)
+        root = np.full(len(sets), -1)
+        found: list[tuple[bytes, bytes]] = []
+        for start in range(len(sets)):
+            if root[start] >= 0:
+                continue
+            root[start], edge = start, [start]
+            while edge:
+                i = edge.pop()
+                for j in np.flatnonzero(linked[i] & (root < 0)):
+                    root[j] = start
+                    edge.append(j)
+                    found.append((digests[rows[i]], digests[rows[j]]))
+        return pa.table({"a": pa.array([x[0] for x in found], pa.binary()), "b": pa.array([x[1] for x in found], pa.binary())})
+
+    return run
+
+
+def _clustered_sets(n_words: int):
+    """Sets of texts (text, digest, then numbers that are kept) whose digest is the one given."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle = Shingler(n_words)
+        for part, texts in text_slices(batches, 0):
+            sets = [shingle(t).tobytes() for t in texts]
+            same = [hashlib.blake2b(s, digest_size=16).digest() == d for s, d in zip(sets, part.column(1).to_pylist(), strict=True)]
+            rows = pa.RecordBatch.from_arrays([pa.array(sets, pa.binary()), *part.columns[1:]], ["shingles", *part.schema.names[1:]])
+            yield rows.filter(pa.array(same))
+
+    return run
+
+
+def _cluster_links(docs: DataFrame, classes: DataFrame, clusters: DataFrame, percent: int, n_words: int) -> DataFrame:
+    """Links (a, b) that join the linked classes of each cluster. docs: doc_id, text; clusters: digest, cluster, n."""
+    blocks = F.ceil(F.col("n") / CLUSTER_BLOCK).cast("int")
+    wanted = clusters.withColumn("g", blocks).join(classes.select("digest", "first_id"), "digest")
+    wanted = materialize(wanted.select(*null_safe_key("first_id"), "digest", F.xxhash64("cluster").alias("cluster"), "g", F.pmod(F.xxhash64("digest"), F.col("g")).cast("int").alias("own")), "near-wanted")
+    texts = join_checked(docs.select("text", *null_safe_key("doc_id")), wanted, ["_key_null", "_key"], "inner", FEW_ROWS)
+    sets = texts.select("text", "digest", "cluster", "g", "own").mapInArrow(_clustered_sets(n_words), "shingles binary, digest binary, cluster long, g int, own int")
+    pair = F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("other")
+    dealt = sets.select("shingles", "digest", "cluster", "own", pair).select("shingles", "digest", "cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    links = materialize(dealt.groupBy("cluster", "i", "j").applyInArrow(_forest(percent), "a binary, b binary"), "near-links")
+    discard(wanted)
+    return links
 
 
 def _tree_pairs(classes: DataFrame, least: int, n_trees: int) -> DataFrame:
@@ -253,7 +330,7 @@ def _tree_pairs(classes: DataFrame, least: int, n_trees: int) -> DataFrame:
 
     for depth in range(MOST_DEPTH):
         mixed = rows.groupBy("node").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where(F.col("low") < F.col("high")).select("node")
-        rows = materialize(rows.join(mixed, "node", "left_semi"), "tree-rows")
+        rows = materialize(join_checked(rows, materialize(mixed, "tree-mixed"), ["node"], "left_semi"), "tree-rows")
         counts = rows.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("n"))
         nodes = counts.groupBy("node").agg(F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("top"))
         nodes = materialize(nodes.select("node", F.col("top.comp").alias("major"), (F.col("n") - F.col("top.n")).alias("outside"), "n"), "tree-nodes")
@@ -299,9 +376,14 @@ def near_duplicates(docs: DataFrame, percent: int = 75, n_words: int = 5, id_col
     marks = materialize(slim.mapInArrow(_marks(n_words), "doc_id long, n_shingles long, digest binary, tokens array<int>, s0 long, s1 long"), "near-marks")
     firsts = [F.any_value(c).alias(c) for c in ("n_shingles", "s0", "s1", "tokens")]
     classes = materialize(marks.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("first_id"), *firsts), "near-classes")
-    links = _verified(slim, classes, _hub_pairs(classes, least), percent, n_words, "near-hub")
-    labels = connected(links).select(F.col("node").alias("digest"), F.xxhash64("root").alias("comp"))
-    labelled = materialize(classes.join(labels, "digest", "left").withColumn("comp", F.coalesce("comp", F.xxhash64("digest"))), "near-labelled")
+    clusters = _clusters(classes)
+    sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= MOST_CLUSTER)
+    clusters = materialize(clusters.join(sizes, "cluster").select("digest", "cluster", "n"), "near-clusters")
+    links = _cluster_links(slim, classes, clusters, percent, n_words)
+    settled = clusters.select("digest", F.xxhash64("cluster").alias("comp"))
+    labelled = materialize(join_checked(classes, settled, ["digest"], "left", FEW_ROWS).withColumn("comp", F.coalesce("comp", F.xxhash64("digest"))), "near-labelled")
+    discard(classes)
+    classes = labelled
     more = _verified(slim, classes, _tree_pairs(labelled, least, trees_for(percent)), percent, n_words, "near-tree")
     roots = connected(links.unionByName(more)).select(F.col("node").alias("digest"), "root")
     linked = materialize(classes.select("digest", "first_id").join(roots, "digest"), "near-linked")
