@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.llm import isotonic
-from tidewell.llm.common import materialize, table, text_slices
+from tidewell.llm.common import discard, materialize, table, text_slices
 
 # Symbols of the grammar: what words are, and what the transducers make of them.
 PLAIN, INSULT, THREAT, TARGET, INTENT, NOT, REPORT = range(7)
@@ -198,6 +198,7 @@ def learn_lexicon(labelled: DataFrame) -> Lexicon:
     best = stems.join(top, "stem").where(F.col("stem").endswith(" ") | (F.col("top") <= MOST_SHARE * F.col("docs")))
     rows = best.orderBy(F.col("odds").desc(), "stem").limit(MOST_ENTRIES).select("stem", "odds").collect()
     words = {r["stem"].strip(): min(6.0, r["odds"]) for r in rows if r["stem"].endswith(" ")}
+    discard(sums)
     return Lexicon(words, {r["stem"]: min(6.0, r["odds"]) for r in rows if not r["stem"].endswith(" ")})
 
 
@@ -238,6 +239,7 @@ class ToxicityModel:
         told = raw_scores(held, self.lexicon).join(held.select("doc_id", "toxic"), "doc_id")
         bins = isotonic.binned(told.withColumn("raw", F.log1p("raw")), "raw", "toxic", 0.0, 8.0, 400)
         self.knots = isotonic.fit(sorted([*bins, *PRIOR]))
+        discard(joined)
 
     def score(self, docs: DataFrame) -> DataFrame:
         """Rows (doc_id, score) of whole texts; null and empty texts match nothing. Repeated rows each give a row."""
