@@ -1,7 +1,7 @@
 """Near duplicates by a chosen-path set similarity join.
 
 Documents with one set of shingles form a class; classes are what is compared.
-Every class has 64 minwise tokens and a sketch of two bits of each. A tree puts a
+Every class has 64 minwise tokens and a sketch of four bits of each. A tree puts a
 class at the node of one chosen token. A node whose members are all linked by now
 is done. A node with few members outside its largest component is compared
 exhaustively: those few with all. Any other node branches: each member goes on
@@ -36,11 +36,13 @@ TOKENS = 64
 BRANCHES, MOST_DEPTH = 3, 4
 #: A node is compared exhaustively if no more members lie outside its largest component.
 FEW = 16
-#: Shallow trees of two tokens, in which members meet one hub, and tokens of 64 that must agree for a cluster: a similarity of about a half.
-HUB_TREES, LOOSE = 5, 40
+#: Shallow trees of two tokens, in which members meet one hub, and tokens of 64 that must agree for a cluster: a similarity of about 0.3.
+HUB_TREES, LOOSE = 5, 23
 #: Classes of the largest cluster that is compared exactly, and of a block.
 MOST_CLUSTER, CLUSTER_BLOCK = 1 << 16, 256
 BLOCK = 64
+#: Columns of a sketch.
+SKETCH = ("s0", "s1", "s2", "s3")
 #: Rows, of a digest and some numbers, that may be broadcast.
 FEW_ROWS = 400_000
 M64 = np.uint64
@@ -101,32 +103,26 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sketch(tokens: np.ndarray) -> tuple[int, int]:
-    bits = ((tokens * np.uint32(0x9E3779B1)) >> np.uint32(30)).astype(M64)
-    places = np.arange(0, 64, 2, dtype=M64)
-    low, high = (np.bitwise_or.reduce(part << places) for part in (bits[:32], bits[32:]))
-    return int(low.view(np.int64)), int(high.view(np.int64))
+def _sketch(tokens: np.ndarray) -> list[int]:
+    """Four bits of each token, in four 64-bit integers."""
+    bits = ((tokens * np.uint32(0x9E3779B1)) >> np.uint32(28)).astype(M64).reshape(len(SKETCH), 16)
+    return np.bitwise_or.reduce(bits << np.arange(0, 64, 4, dtype=M64), axis=1).view(np.int64).tolist()
 
 
 def _marks(n_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(n_words)
         for part, texts in text_slices(batches, 1):
-            counts, digests, tokens, low, high = [], [], [], [], []
+            counts, digests, tokens, sketches = [], [], [], []
             for text in texts:
                 s = shingle(text)
+                sig = signature(s) if len(s) else None
                 counts.append(len(s))
-                if not len(s):
-                    for column in (digests, tokens, low, high):
-                        column.append(None)
-                    continue
-                sig = signature(s)
-                a, b = _sketch(sig)
-                digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                tokens.append(sig.view(np.int32))
-                low.append(a)
-                high.append(b)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(tokens, pa.list_(pa.int32())), pa.array(low, pa.int64()), pa.array(high, pa.int64())], ["doc_id", "n_shingles", "digest", "tokens", "s0", "s1"])
+                digests.append(None if sig is None else hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                tokens.append(None if sig is None else sig.view(np.int32))
+                sketches.append([None] * len(SKETCH) if sig is None else _sketch(sig))
+            columns = [part.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(tokens, pa.list_(pa.int32())), *(pa.array(c, pa.int64()) for c in zip(*sketches, strict=True))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "digest", "tokens", *SKETCH])
 
     return run
 
@@ -158,20 +154,21 @@ def _linked(percent: int):
     return run
 
 
-def _alike(s0: Column, s1: Column, t0: Column, t1: Column, least: int) -> Column:
+def _alike(x: list[Column], y: list[Column], least: int) -> Column:
     """Whether two sketches agree in at least so many of the 64 tokens."""
-
-    def differ(x: Column, y: Column) -> Column:
-        z = x.bitwiseXOR(y)
-        return F.bit_count(z.bitwiseOR(F.shiftright(z, 1)).bitwiseAND(F.lit(0x5555555555555555)))
-
-    return F.lit(TOKENS) - differ(s0, t0) - differ(s1, t1) >= least
+    differ = F.lit(0)
+    for a, b in zip(x, y, strict=True):
+        z = a.bitwiseXOR(b)
+        z = z.bitwiseOR(F.shiftright(z, 1))
+        z = z.bitwiseOR(F.shiftright(z, 2))
+        differ = differ + F.bit_count(z.bitwiseAND(F.lit(0x1111111111111111)))
+    return F.lit(TOKENS) - differ >= least
 
 
 def least_alike(percent: int) -> int:
-    """Tokens of 64 in which two bits agree for linked sets, but for about one pair in a thousand million."""
-    p = percent / 100 + (1 - percent / 100) / 4
-    return max(0, math.floor(TOKENS * p - 6 * math.sqrt(TOKENS * p * (1 - p))))
+    """Tokens of 64 in which four bits agree for linked sets, but for about one pair in a million of those at the threshold."""
+    p = percent / 100 + (1 - percent / 100) / 16
+    return max(0, math.floor(TOKENS * p - 5 * math.sqrt(TOKENS * p * (1 - p))))
 
 
 def trees_for(percent: int, missed: float = 2e-7) -> int:
@@ -203,7 +200,9 @@ def connected(links: DataFrame) -> DataFrame:
 
     Every node points to its least neighbour if that is less than itself; pointers
     are doubled twice, links are moved to where their ends point, and that repeats
-    until no link is left. A component of any size is spread over tasks.
+    until no link is left. Nodes should be digests or other well-mixed keys: then a
+    path shrinks by a factor each time, however long it is. A component of any size
+    is spread over tasks.
     """
     left = materialize(links.select("a", "b").where(F.col("a") != F.col("b")), "cc-links")
     ends = left.select(F.col("a").alias("node")).unionByName(left.select(F.col("b").alias("node"))).distinct()
@@ -225,18 +224,20 @@ def connected(links: DataFrame) -> DataFrame:
         left = moved(moved(left, "a"), "b").where(F.col("a") != F.col("b"))
         left = materialize(left.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cc-links")
         discard(before, to)
-    return labels
+    return labels.select("node", "root")
 
 
 def _clusters(classes: DataFrame) -> DataFrame:
     """Rows (digest, cluster) of classes that are like their hub, or a hub, in shallow trees of two tokens."""
     paths = [F.xxhash64(F.lit(-1 - t), F.element_at("tokens", TOKENS - 2 * t), F.element_at("tokens", TOKENS - 2 * t - 1)) for t in range(HUB_TREES)]
-    rows = classes.select("digest", "s0", "s1", F.explode(F.array(*paths)).alias("node"))
-    hub = F.min(F.struct(F.xxhash64("node", "digest").alias("draw"), "digest", "s0", "s1"))
+    rows = classes.select("digest", *SKETCH, F.explode(F.array(*paths)).alias("node"))
+    hub = F.min(F.struct(F.xxhash64("node", "digest").alias("draw"), "digest", *SKETCH))
     hubs = materialize(rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), hub.alias("hub")).where(F.col("n") > 1).select("node", "hub"), "near-hubs")
     met = join_checked(rows, hubs, ["node"], "inner", FEW_ROWS).where(F.col("digest") != F.col("hub.digest"))
-    met = met.where(_alike(F.col("s0"), F.col("s1"), F.col("hub.s0"), F.col("hub.s1"), LOOSE))
-    return connected(met.select(F.col("digest").alias("a"), F.col("hub.digest").alias("b")).distinct()).select(F.col("node").alias("digest"), F.col("root").alias("cluster"))
+    met = met.where(_alike([F.col(c) for c in SKETCH], [F.col(f"hub.{c}") for c in SKETCH], LOOSE))
+    found = connected(met.select(F.col("digest").alias("a"), F.col("hub.digest").alias("b")).distinct())
+    discard(hubs)
+    return found.select(F.col("node").alias("digest"), F.col("root").alias("cluster"))
 
 
 def _forest(percent: int):
@@ -311,7 +312,7 @@ def _cluster_links(docs: DataFrame, classes: DataFrame, clusters: DataFrame, per
 
 def _tree_pairs(classes: DataFrame, least: int, n_trees: int) -> DataFrame:
     """Pairs of classes of different components that meet in a node and have sketches alike. classes has comp."""
-    member = ("digest", "comp", "s0", "s1")
+    member = ("digest", "comp", *SKETCH)
     tokens = classes.select(F.col("digest").alias("_digest"), "tokens")
     paths = F.array(*[F.xxhash64(F.lit(t), F.element_at("tokens", t + 1)) for t in range(n_trees)])
     rows = classes.select(*member, F.explode(paths).alias("node"))
@@ -323,7 +324,7 @@ def _tree_pairs(classes: DataFrame, least: int, n_trees: int) -> DataFrame:
         def fits(x: Column) -> Column:
             # Two that are both among the others would meet twice.
             once = (F.col("comp") == F.col("major")) | (F.col("digest") < x["digest"])
-            return (x["comp"] != F.col("comp")) & once & _alike(F.col("s0"), F.col("s1"), x["s0"], x["s1"], least)
+            return (x["comp"] != F.col("comp")) & once & _alike([F.col(c) for c in SKETCH], [x[c] for c in SKETCH], least)
 
         met = rows.select("digest", F.explode(F.filter(others, fits)).alias("x"))
         return met.select(F.least("digest", "x.digest").alias("a"), F.greatest("digest", "x.digest").alias("b")).distinct()
@@ -373,8 +374,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, n_words: int = 5, id_col
     result. Only the two columns named are read, so other columns never clash.
     """
     least, slim = least_alike(percent), docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    marks = materialize(slim.mapInArrow(_marks(n_words), "doc_id long, n_shingles long, digest binary, tokens array<int>, s0 long, s1 long"), "near-marks")
-    firsts = [F.any_value(c).alias(c) for c in ("n_shingles", "s0", "s1", "tokens")]
+    marks = materialize(slim.mapInArrow(_marks(n_words), "doc_id long, n_shingles long, digest binary, tokens array<int>, " + ", ".join(f"{c} long" for c in SKETCH)), "near-marks")
+    firsts = [F.any_value(c).alias(c) for c in ("n_shingles", "tokens", *SKETCH)]
     classes = materialize(marks.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("first_id"), *firsts), "near-classes")
     clusters = _clusters(classes)
     sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= MOST_CLUSTER)
@@ -387,6 +388,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, n_words: int = 5, id_col
     more = _verified(slim, classes, _tree_pairs(labelled, least, trees_for(percent)), percent, n_words, "near-tree")
     roots = connected(links.unionByName(more)).select(F.col("node").alias("digest"), "root")
     linked = materialize(classes.select("digest", "first_id").join(roots, "digest"), "near-linked")
+    discard(classes, clusters, links, more)
     least_ids = linked.groupBy("root").agg(F.min("first_id").alias("_least"))
     named = linked.join(least_ids, "root").select("digest", "_least")
     # Only classes of several rows or with links can have another's id.
