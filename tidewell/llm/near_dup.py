@@ -72,7 +72,7 @@ class Shingler:
         try:
             hashed = [known[w] for w in words]
         except KeyError:
-            if len(known) > 500_000:
+            if len(known) > 200_000:
                 known.clear()
             for w in words:
                 if w not in known:

@@ -105,6 +105,9 @@ def grammar() -> Transducer:
     return meant.then(at_target).then(aimed).then(denied).then(quoted)
 
 
+NOTHING = (PLAIN, 0.0)
+
+
 class Lexicon:
     """Symbol and weight of a word: from the lists, a learned word, or the weightiest learned stem."""
 
@@ -116,10 +119,10 @@ class Lexicon:
     def __call__(self, word: str) -> tuple[int, float]:
         found = self.known.get(word)
         if found is None:
-            if len(self.known) > 500_000:
+            if len(self.known) > 200_000:
                 self.known.clear()
             weight = max([self.words.get(word, 0.0), *(self.stems.get(word[:k], 0.0) for k in range(SHORTEST, LONGEST + 1))])
-            found = (INSULT, weight) if weight > 0 else self.fixed.get(word, (PLAIN, 0.0))
+            found = (INSULT, weight) if weight > 0 else self.fixed.get(word, NOTHING)
             self.known[word] = found
         return found
 
