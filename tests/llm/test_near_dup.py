@@ -78,6 +78,44 @@ def test_leftover_blocks(spark, rnd, monkeypatch):
     check(spark, [(i, edited(rnd, base, rnd.randrange(2, 8))) for i in range(40)])
 
 
+def listed(monkeypatch):
+    """Counts of the pairs that are listed, as they come."""
+    counts, verified = [], near_dup._verified
+
+    def spy(docs, classes, pairs, *more):
+        counts.append(pairs.count())
+        return verified(docs, classes, pairs, *more)
+
+    monkeypatch.setattr(near_dup, "_verified", spy)
+    return counts
+
+
+def test_cluster_beyond_the_largest(spark, rnd, monkeypatch):
+    """Its pairs aren't listed: hubs link most of it, and the rest meets all in blocks."""
+    monkeypatch.setattr(near_dup, "MOST_CLUSTER", 40)
+    monkeypatch.setattr(near_dup, "CLUSTER_BLOCK", 16)
+    monkeypatch.setattr(near_dup, "STARS", 3, raising=False)
+    counts = listed(monkeypatch)
+    base = prose(rnd, 150)
+    texts = [edited(rnd, base, rnd.randrange(1, 3)) for _ in range(180)] + [edited(rnd, base, rnd.randrange(3, 7)) for _ in range(20)] + [prose(rnd, 60) for _ in range(20)]
+    check(spark, list(enumerate(texts)))
+    assert sum(counts) <= 3 * 200 + 220
+
+
+def test_cluster_that_hubs_leave(spark, rnd, monkeypatch):
+    """Too many are left outside: the trees split it, and list no pairs of their last level."""
+    monkeypatch.setattr(near_dup, "MOST_CLUSTER", 10)
+    monkeypatch.setattr(near_dup, "STARS", 1, raising=False)
+    monkeypatch.setattr(near_dup, "FEW", 1)
+    monkeypatch.setattr(near_dup, "BLOCK", 16)
+    monkeypatch.setattr(near_dup, "MOST_DEPTH", 1)
+    monkeypatch.setattr(near_dup, "trees_for", lambda percent: 12)
+    counts = listed(monkeypatch)
+    base = prose(rnd, 150)
+    check(spark, [(i, edited(rnd, base, rnd.randrange(3, 8))) for i in range(150)])
+    assert sum(counts) <= 10 * 150
+
+
 def test_trees_reach_their_recall():
     meet = 0.75 * (1 - 0.25**near_dup.BRANCHES) ** (near_dup.MOST_DEPTH - 1)
     assert (1 - meet) ** near_dup.trees_for(75) <= 2e-7

@@ -6,15 +6,19 @@ class at the node of one chosen token. A node whose members are all linked by no
 is done. A node with few members outside its largest component is compared
 exhaustively: those few with all. Any other node branches: each member goes on
 to the nodes of three more chosen tokens. What is left at the greatest depth is
-compared exhaustively in blocks. Independent trees repeat this until a pair at
+compared exhaustively in blocks that hold the full sets. Independent trees repeat this until a pair at
 the threshold is met with the wanted probability.
 
 Trees can't part a group of thousands of copies, so such groups are found before:
 in a few shallow trees members whose sketches are like their node's hub form
 clusters. All pairs of a cluster are compared exactly, in blocks of bounded size that
 hold the full sets and give a spanning forest of links instead of pairs. For the
-trees a cluster is then one component: all its pairs are settled. A cluster beyond
-MOST_CLUSTER is left to the trees. All links are confirmed on the full sets.
+trees a cluster is then one component: all its pairs are settled. In a cluster beyond
+MOST_CLUSTER all members are compared to STARS hubs first; members outside of its
+largest component are then compared to all, in the same blocks. Are these still more
+than MOST_CLUSTER, the trees split the cluster, with its components known, and what
+is left in their last level goes to such blocks too. So pairs are listed only where
+at most FEW meet the rest of a node. All links are confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -38,8 +42,10 @@ BRANCHES, MOST_DEPTH = 3, 4
 FEW = 16
 #: Shallow trees of two tokens, in which members meet one hub, and tokens of 64 that must agree for a cluster: a similarity of about 0.3.
 HUB_TREES, LOOSE = 5, 23
-#: Classes of the largest cluster that is compared exactly, and of a block.
+#: Classes of the largest cluster of which all pairs are compared, and of a block.
 MOST_CLUSTER, CLUSTER_BLOCK = 1 << 16, 256
+#: Hubs of a larger cluster.
+STARS = 16
 BLOCK = 64
 #: Columns of a sketch.
 SKETCH = ("s0", "s1", "s2", "s3")
@@ -296,27 +302,79 @@ def _clustered_sets(n_words: int):
     return run
 
 
-def _cluster_links(docs: DataFrame, classes: DataFrame, clusters: DataFrame, percent: int, n_words: int) -> DataFrame:
-    """Links (a, b) that join the linked classes of each cluster. docs: doc_id, text; clusters: digest, cluster, n."""
-    blocks = F.ceil(F.col("n") / CLUSTER_BLOCK).cast("int")
-    wanted = clusters.withColumn("g", blocks).join(classes.select("digest", "first_id"), "digest")
-    wanted = materialize(wanted.select(*null_safe_key("first_id"), "digest", F.xxhash64("cluster").alias("cluster"), "g", F.pmod(F.xxhash64("digest"), F.col("g")).cast("int").alias("own")), "near-wanted")
-    texts = join_checked(docs.select("text", *null_safe_key("doc_id")), wanted, ["_key_null", "_key"], "inner", FEW_ROWS)
-    sets = texts.select("text", "digest", "cluster", "g", "own").mapInArrow(_clustered_sets(n_words), "shingles binary, digest binary, cluster long, g int, own int")
-    pair = F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("other")
-    dealt = sets.select("shingles", "digest", "cluster", "own", pair).select("shingles", "digest", "cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    links = materialize(dealt.groupBy("cluster", "i", "j").applyInArrow(_forest(percent), "a binary, b binary"), "near-links")
+def _block_links(docs: DataFrame, classes: DataFrame, rows: DataFrame, size: int, percent: int, n_words: int) -> DataFrame:
+    """Links (a, b) that join the linked classes of each part, but for pairs of which neither is outside.
+
+    docs: doc_id, text. rows: digest, part, n, outside (classes of the part, and those
+    outside), out (whether the class is one of these). Blocks of classes outside meet
+    all blocks; a class may be in several parts.
+    """
+    out, g = F.ceil(F.col("outside") / size).cast("int"), F.ceil((F.col("n") - F.col("outside")) / size).cast("int")
+    mixed = F.xxhash64("digest")
+    own = F.when(F.col("out"), F.pmod(mixed, out)).otherwise(out + F.pmod(mixed, g)).cast("int").alias("own")
+    met = F.when(F.col("out"), out + g).otherwise(out).alias("met")
+    few = FEW_ROWS if rows.count() <= FEW_ROWS else 0
+    places = rows.select("digest", F.struct("part", own, met).alias("place")).groupBy("digest").agg(F.collect_list("place").alias("places"))
+    wanted = places.join(classes.select("digest", "first_id"), "digest")
+    wanted = materialize(wanted.select(*null_safe_key("first_id"), "digest", "places"), "near-wanted")
+    texts = join_checked(docs.select("text", *null_safe_key("doc_id")), wanted, ["_key_null", "_key"], "inner", few)
+    sets = texts.select("text", "digest", "places").mapInArrow(_clustered_sets(n_words), "shingles binary, digest binary, places array<struct<part: long, own: int, met: int>>")
+    placed = sets.select("shingles", "digest", F.explode("places").alias("place")).select("shingles", "digest", "place.*")
+    dealt = placed.select("shingles", "digest", "part", "own", F.explode(F.sequence(F.lit(0), F.col("met") - 1)).alias("other"))
+    dealt = dealt.select("shingles", "digest", "part", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    links = materialize(dealt.groupBy("part", "i", "j").applyInArrow(_forest(percent), "a binary, b binary"), "near-links")
     discard(wanted)
     return links
 
 
-def _tree_pairs(classes: DataFrame, least: int, n_trees: int) -> DataFrame:
-    """Pairs of classes of different components that meet in a node and have sketches alike. classes has comp."""
+def _parts(rows: DataFrame) -> DataFrame:
+    """Rows (digest, part, comp) with n, outside and out: the part's classes, those outside its largest component, and whether a class is one."""
+    counts = rows.groupBy("part", "comp").agg(F.count(F.lit(1)).alias("n"))
+    sizes = counts.groupBy("part").agg(F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("top"))
+    sizes = sizes.select("part", "n", (F.col("n") - F.col("top.n")).alias("outside"), F.col("top.comp").alias("major"))
+    return rows.join(sizes, "part").select("digest", "part", "comp", "n", "outside", (F.col("comp") != F.col("major")).alias("out"))
+
+
+def _star_links(docs: DataFrame, classes: DataFrame, clusters: DataFrame, percent: int, n_words: int) -> DataFrame:
+    """Links (a, b) of the classes of each cluster (digest, part) to STARS of them."""
+    hubs = [F.min(F.struct(F.xxhash64(F.lit(k), "digest"), "digest")).alias(f"h{k}") for k in range(STARS)]
+    hubs = clusters.groupBy("part").agg(*hubs).select("part", F.explode(F.array_distinct(F.array(*[F.col(f"h{k}.digest") for k in range(STARS)]))).alias("b"))
+    sketches = classes.select(F.col("digest").alias("b"), F.struct(*SKETCH).alias("hub"))
+    hubs = materialize(hubs.join(sketches, "b"), "near-stars")
+    rows = clusters.join(classes.select("digest", *SKETCH), "digest")
+    met = join_checked(rows, hubs, ["part"], "inner", FEW_ROWS).where(F.col("digest") != F.col("b"))
+    met = met.where(_alike([F.col(c) for c in SKETCH], [F.col(f"hub.{c}") for c in SKETCH], least_alike(percent)))
+    links = _verified(docs, classes, met.select(F.col("digest").alias("a"), "b").distinct(), percent, n_words, "near-star")
+    discard(hubs)
+    return links
+
+
+def _cluster_links(docs: DataFrame, classes: DataFrame, clusters: DataFrame, percent: int, n_words: int) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) of clusters (digest, cluster, n), and rows (digest, comp): classes of one comp are linked, or their pairs are settled."""
+    rows = clusters.select("digest", F.xxhash64("cluster").alias("part"), "n")
+    small = rows.where(F.col("n") <= MOST_CLUSTER).select("digest", "part", "n", F.col("n").alias("outside"), F.lit(True).alias("out"))
+    large = rows.where(F.col("n") > MOST_CLUSTER).select("digest", "part")
+    if large.isEmpty():
+        return _block_links(docs, classes, small, CLUSTER_BLOCK, percent, n_words), rows.select("digest", F.col("part").alias("comp"))
+    stars = _star_links(docs, classes, large, percent, n_words)
+    roots = connected(stars).select(F.col("node").alias("digest"), F.xxhash64("root").alias("comp"))
+    own = large.join(roots, "digest", "left").select("digest", "part", F.coalesce("comp", F.xxhash64("digest")).alias("comp"))
+    own = materialize(_parts(own), "near-large")
+    settled = own.where(F.col("outside") <= MOST_CLUSTER)
+    dealt = small.unionByName(settled.where(F.col("outside") > 0).select(small.columns))
+    links = _block_links(docs, classes, dealt, CLUSTER_BLOCK, percent, n_words)
+    comps = small.unionByName(settled.select(small.columns)).select("digest", F.col("part").alias("comp"))
+    return links.unionByName(stars), comps.unionByName(own.where(F.col("outside") > MOST_CLUSTER).select("digest", "comp"))
+
+
+def _tree_pairs(classes: DataFrame, least: int, n_trees: int) -> tuple[DataFrame, DataFrame | None]:
+    """Pairs of classes of different components that meet in a small node and have sketches alike, and the parts that are left for blocks. classes has comp."""
     member = ("digest", "comp", *SKETCH)
     tokens = classes.select(F.col("digest").alias("_digest"), "tokens")
     paths = F.array(*[F.xxhash64(F.lit(t), F.element_at("tokens", t + 1)) for t in range(n_trees)])
     rows = classes.select(*member, F.explode(paths).alias("node"))
     found: list[DataFrame] = []
+    left: DataFrame | None = None
 
     def pairs(rows: DataFrame, others: str = "others") -> DataFrame:
         """Pairs of every row and those of its node's others that belong to another component."""
@@ -348,16 +406,11 @@ def _tree_pairs(classes: DataFrame, least: int, n_trees: int) -> DataFrame:
             branch = branch.join(tokens, F.col("digest") == F.col("_digest"))
             rows = materialize(branch.select(*member, F.xxhash64("node", "j", F.element_at("tokens", F.col("k"))).alias("node")).distinct(), "tree-rows")
         else:
-            # Every pair of blocks of a node is met: a member goes to all pairs with its own block.
-            met = many.withColumn("g", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("digest"), F.col("g")).cast("int"))
-            met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-            met = met.select(*member, F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), F.lit(-1).cast("long").alias("major"))
-            others = met.groupBy("node").agg(F.collect_list(F.struct(*member)).alias("others"))
-            found.append(materialize(pairs(met.join(others, "node")), "tree-pairs"))
+            left = materialize(many.select("digest", F.col("node").alias("part"), "n", "outside", (F.col("comp") != F.col("major")).alias("out")), "tree-left")
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
-    return out.distinct()
+    return out.distinct(), left
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, n_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -378,14 +431,16 @@ def near_duplicates(docs: DataFrame, percent: int = 75, n_words: int = 5, id_col
     firsts = [F.any_value(c).alias(c) for c in ("n_shingles", "tokens", *SKETCH)]
     classes = materialize(marks.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("first_id"), *firsts), "near-classes")
     clusters = _clusters(classes)
-    sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= MOST_CLUSTER)
+    sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
     clusters = materialize(clusters.join(sizes, "cluster").select("digest", "cluster", "n"), "near-clusters")
-    links = _cluster_links(slim, classes, clusters, percent, n_words)
-    settled = clusters.select("digest", F.xxhash64("cluster").alias("comp"))
-    labelled = materialize(join_checked(classes, settled, ["digest"], "left", FEW_ROWS).withColumn("comp", F.coalesce("comp", F.xxhash64("digest"))), "near-labelled")
+    links, comps = _cluster_links(slim, classes, clusters, percent, n_words)
+    labelled = materialize(join_checked(classes, materialize(comps, "near-comps"), ["digest"], "left", FEW_ROWS).withColumn("comp", F.coalesce("comp", F.xxhash64("digest"))), "near-labelled")
     discard(classes)
     classes = labelled
-    more = _verified(slim, classes, _tree_pairs(labelled, least, trees_for(percent)), percent, n_words, "near-tree")
+    pairs, left = _tree_pairs(labelled, least, trees_for(percent))
+    more = _verified(slim, classes, pairs, percent, n_words, "near-tree")
+    if left is not None:
+        more = more.unionByName(_block_links(slim, classes, left, BLOCK, percent, n_words))
     roots = connected(links.unionByName(more)).select(F.col("node").alias("digest"), "root")
     linked = materialize(classes.select("digest", "first_id").join(roots, "digest"), "near-linked")
     discard(classes, clusters, links, more)
