@@ -43,6 +43,19 @@ def test_rules_and_bands(spark, rnd):
     assert all(r["kept"] for r in got if r["lang"] == "yy" or r["doc_id"] is None)  # too few to have bands
 
 
+def test_rare_languages_have_a_verdict(spark, rnd):
+    clean = [prose(rnd, rnd.randrange(40, 200)) for _ in range(120)]
+    junk = [" ".join("".join(rnd.choice("qzxjvw#%&$") for _ in range(9)) for _ in range(60)) for _ in range(2)]
+    rows = [(i, "xx", t) for i, t in enumerate(clean[:100])] + [(i + 100, "zz", t) for i, t in enumerate(clean[100:])]
+    rows += [(200, "rare", junk[0]), (201, None, junk[1]), (202, None, prose(rnd, 90)), (203, "zz", junk[0][::-1])]
+    for some in (rows, rows[:30] + rows[-4:]):  # also where no language has bands
+        got = {r["doc_id"]: r for r in quality_rules.quality_rules(spark.createDataFrame(some, "doc_id long, lang string, text string")).collect()}
+        assert len(got) == len(some) and all(r["low"] is not None for r in got.values())
+        assert not any(got[i]["base_failed"] for i in (200, 201, 203)) and not any(got[i]["kept"] for i in (200, 201))
+        assert all(got[i]["kept"] for i, _, _ in some if i < 200 or i == 202)
+        assert some is not rows or not got[203]["kept"]
+
+
 def test_no_documents(spark):
     df = spark.createDataFrame([], "doc_id long, lang string, text string")
     assert quality_rules.quality_rules(df).collect() == []

@@ -14,6 +14,7 @@ together. Capitals are a mark and a small letter.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +28,10 @@ ORDER, BITS = 4, 6
 SYMBOLS = 1 << BITS
 #: Entries of the models that are broadcast together; a language with more is broadcast alone.
 MOST_ENTRIES = 18_000_000
-#: A language with fewer documents has no bands of its own: none of its documents is rejected by them.
+#: A language with fewer documents has no bands of its own: its documents are measured by a model of all languages.
 LEAST_DOCS = 50
+#: Documents that the median of all languages counts as, beside the documents of such a language.
+PRIOR_DOCS = 4
 #: Half-width of the bands: robust deviations of the language's documents, and standard errors of a document's own mean.
 DEVIATIONS, ERRORS = 4.0, 2.5
 #: Least robust deviation, in bits: copies of one text must not narrow the bands to nothing.
@@ -129,8 +132,18 @@ def kneser_ney(docs: DataFrame) -> DataFrame:
     the numbers of n-grams counted once to four times; where these are missing the
     discounts are 0.5, 1 and 1.5.
     """
+    return model_of(gram_counts(docs))
+
+
+def gram_counts(docs: DataFrame) -> DataFrame:
+    """Rows (lang, gram, n) of the full order."""
     counts = docs.select("lang", "text").mapInArrow(_counted, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    orders = {ORDER: materialize(counts, "ngram-counts")}
+    return materialize(counts, "ngram-counts")
+
+
+def model_of(counts: DataFrame) -> DataFrame:
+    """The model's rows of materialised counts of the full order."""
+    orders = {ORDER: counts}
     for width in range(ORDER - 1, 0, -1):
         shorter = F.col("gram").bitwiseAND((1 << BITS * width) - 1).alias("gram")
         orders[width] = materialize(orders[width + 1].select("lang", shorter).groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n")), "ngram-counts")
@@ -305,6 +318,16 @@ def rule_figures(text: str) -> tuple[int, int, int, int, int]:
 FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
+def _with_entropy(scored: DataFrame) -> DataFrame:
+    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    return scored.withColumn("base_failed", failed).withColumn("entropy", F.col("bits") / F.when(F.col("chars") > 0, F.col("chars")))
+
+
+def _distinct_good(scored: DataFrame) -> DataFrame:
+    """What bands are made of: documents that pass the rules, copies once."""
+    return scored.where(~F.col("base_failed") & F.col("entropy").isNotNull()).dropDuplicates(["lang", "chars", "bits"])
+
+
 def quality_rules(docs: DataFrame, deviations: float = DEVIATIONS, errors: float = ERRORS) -> DataFrame:
     """Rows (doc_id, lang, the five figures, base_failed, entropy, low, high, kept) of docs (doc_id, lang, text).
 
@@ -313,24 +336,42 @@ def quality_rules(docs: DataFrame, deviations: float = DEVIATIONS, errors: float
     bits (the logarithm of perplexity) lies between low and high: the language's
     median, less or plus deviations robust deviations of its documents and errors
     standard errors of the document's mean. Copies count once in the median. A null
-    language is one of its own. A language of fewer than LEAST_DOCS documents that
-    pass the rules has no bands.
+    language is one of its own. Documents of a language with fewer than LEAST_DOCS
+    documents that pass the rules have their entropy under a model of all languages
+    together. The middle of their bands is the median of their language, drawn to that
+    of all documents as if PRIOR_DOCS more had it; the deviation is that of all documents,
+    widened by the error of a median of so few.
     Null and empty texts fail. Repeated rows each give a row; an empty table gives
     an empty result. Other columns are not read.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    models = kneser_ney(slim)
-    scored = materialize(entropies(slim, models, ["doc_id"]), "rule-entropies")
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    scored = scored.withColumn("base_failed", failed).withColumn("entropy", F.col("bits") / F.when(F.col("chars") > 0, F.col("chars")))
-    good = scored.where(~failed & F.col("entropy").isNotNull()).dropDuplicates(["lang", "chars", "bits"])
+    counts = gram_counts(slim)
+    scored = _with_entropy(materialize(entropies(slim, model_of(counts), ["doc_id"]), "rule-entropies"))
     parts = F.percentile_approx("entropy", [0.25, 0.5, 0.75], 10_000)
     spread = F.sqrt(F.greatest(F.lit(0.0), F.sum("squares") / F.sum("chars") - (F.sum("bits") / F.sum("chars")) ** 2))
-    bands = good.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"), parts.alias("_q"), spread.alias("_s")).where(F.col("_n") >= LEAST_DOCS)
-    bands = materialize(bands.select(F.col("lang").alias("_lang"), F.col("_q")[1].alias("_mid"), F.greatest((F.col("_q")[2] - F.col("_q")[0]) / 1.349, F.lit(LEAST_DEVIATION)).alias("_dev"), "_s"), "rule-bands")
+    deviation = F.greatest((F.col("_q")[2] - F.col("_q")[0]) / 1.349, F.lit(LEAST_DEVIATION))
+    bands = _distinct_good(scored).groupBy("lang").agg(F.count(F.lit(1)).alias("_n"), parts.alias("_q"), spread.alias("_s")).where(F.col("_n") >= LEAST_DOCS)
+    bands = materialize(bands.select(F.col("lang").alias("_lang"), F.lit(True).alias("_own"), F.col("_q")[1].alias("_mid"), deviation.alias("_dev"), "_s"), "rule-bands")
     scored = scored.join(F.broadcast(bands) if bands.count() <= 10_000 else bands, F.col("lang").eqNullSafe(F.col("_lang")), "left")
+    rare = F.col("_own").isNull()
+    if not scored.where(rare & ~F.col("base_failed")).isEmpty():
+        pool = materialize(counts.groupBy("gram").agg(F.sum("n").alias("n")).select(F.lit("").alias("lang"), "gram", "n"), "ngram-counts")
+        told = entropies(slim.select("doc_id", F.col("lang").alias("own"), F.lit("").alias("lang"), "text"), model_of(pool), ["doc_id", "own"])
+        told = _with_entropy(materialize(told.drop("lang").withColumnRenamed("own", "lang"), "rule-entropies"))
+        good = _distinct_good(told)
+        whole = good.agg(parts.alias("_q"), spread.alias("_s")).select(F.col("_q")[1].alias("_all"), deviation.alias("_dev"), "_s")
+        medians = good.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("entropy", 0.5, 10_000).alias("_m"))
+        mid = (F.col("_n") * F.col("_m") + PRIOR_DOCS * F.col("_all")) / (F.col("_n") + PRIOR_DOCS)
+        unsure = F.sqrt(1 + math.pi / 2 / F.col("_n"))  # the median's error
+        medians = medians.crossJoin(F.broadcast(whole)).select(F.col("lang").alias("_lang"), mid.alias("_mid"), (F.col("_dev") * unsure).alias("_dev"), "_s")
+        medians = materialize(medians, "rule-bands")
+        few = bands.select(F.col("_lang").alias("_has"))
+        told = told.join(F.broadcast(few) if few.count() <= 10_000 else few, F.col("lang").eqNullSafe(F.col("_has")), "left_anti")
+        told = told.join(F.broadcast(medians) if medians.count() <= 10_000 else medians, F.col("lang").eqNullSafe(F.col("_lang")), "left")
+        scored = scored.where(~rare).drop("_own").unionByName(told.select(scored.drop("_own").columns))
     half = deviations * F.col("_dev") + errors * F.col("_s") / F.sqrt(F.when(F.col("chars") > 0, F.col("chars")))
     scored = scored.withColumn("low", F.col("_mid") - half).withColumn("high", F.col("_mid") + half)
+    # Without bands are only documents of languages that all fail the rules.
     fits = F.coalesce(F.col("entropy").between(F.col("low"), F.col("high")), F.lit(True))
     return scored.select("doc_id", "lang", *FIGURES, "base_failed", "entropy", "low", "high", (~F.col("base_failed") & fits).alias("kept"))
 
