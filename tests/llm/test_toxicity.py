@@ -1,3 +1,5 @@
+import zlib
+
 from tests.llm.conftest import ODD_TEXTS, prose
 from tidewell.llm import toxicity
 from tidewell.llm.toxicity import INSULT, Lexicon, Scorer, ToxicityModel, within
@@ -51,6 +53,22 @@ def test_held_out_toxicity(spark):
     assert sum(r["predicted"] for r in got if r["toxic"] == 0) <= 0.05 * len(got)
 
 
+def test_repeated_ids_count_once_each_in_the_calibration(spark, monkeypatch):
+    held = [i for i in range(100) if zlib.crc32(str(i).encode()) % 4 == 3]
+    ids = [*held, *[held[0]] * 29]
+    docs = spark.createDataFrame([(i, "some idiot" if i == held[0] else "a text") for i in ids], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i == held[0])) for i in held], "doc_id long, toxic int")
+    told, binned = [], toxicity.isotonic.binned
+
+    def spy(rows, *more):
+        told.extend(rows.collect())
+        return binned(rows, *more)
+
+    monkeypatch.setattr(toxicity.isotonic, "binned", spy)
+    ToxicityModel(docs, labels)
+    assert sorted((r["doc_id"], r["toxic"]) for r in told) == sorted((i, int(i == held[0])) for i in ids)
+
+
 def test_odd_texts_and_no_labels(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(ODD_TEXTS)] + [(None, "idiot"), (1, ""), (1, "")], "doc_id long, text string")
     labels = spark.createDataFrame([(3, 1), (4, 0), (5, None), (6, 7), (None, 1)], "doc_id long, toxic int")

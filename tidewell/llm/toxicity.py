@@ -205,16 +205,17 @@ def learn_lexicon(labelled: DataFrame) -> Lexicon:
     return Lexicon(words, {r["stem"]: min(6.0, r["odds"]) for r in rows if not r["stem"].endswith(" ")})
 
 
-def raw_scores(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """Rows (doc_id, raw) of docs (doc_id, text): the sums of matched clauses of whole texts."""
+def raw_scores(docs: DataFrame, lexicon: Lexicon, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (doc_id, raw, keep) of docs (doc_id, text, keep): the sums of matched clauses of whole texts."""
+    schema = ", ".join(["doc_id long", "raw double", *(f"{n} {t}" for n, t in docs.select(*keep).dtypes)])
     words, stems = lexicon.words, lexicon.stems
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = Scorer(Lexicon(words, stems))
         for part, texts in text_slices(batches, 1):
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([score(t) for t in texts], pa.float64())], ["doc_id", "raw"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([score(t) for t in texts], pa.float64()), *part.columns[2:]], ["doc_id", "raw", *keep])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, raw double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *keep).mapInArrow(run, schema)
 
 
 def remainder(of: int) -> Column:
@@ -239,7 +240,7 @@ class ToxicityModel:
         joined = materialize(joined.withColumn("fold", remainder(4)), "toxic-labelled")
         self.lexicon = learn_lexicon(joined.where(F.col("fold") != 3).select("toxic", "text"))
         held = joined.where(F.col("fold") == 3)
-        told = raw_scores(held, self.lexicon).join(held.select("doc_id", "toxic"), "doc_id")
+        told = raw_scores(held, self.lexicon, ("toxic",))
         bins = isotonic.binned(told.withColumn("raw", F.log1p("raw")), "raw", "toxic", 0.0, 8.0, 400)
         self.knots = isotonic.fit(sorted([*bins, *PRIOR]))
         discard(joined)
