@@ -71,54 +71,76 @@ def test_leftover_blocks(spark, rnd, monkeypatch):
     """Nodes that never get small are compared in blocks, whole."""
     monkeypatch.setattr(near_dup, "FEW", 0)
     monkeypatch.setattr(near_dup, "MOST_DEPTH", 1)
-    monkeypatch.setattr(near_dup, "HUB_TREES", 1)
     monkeypatch.setattr(near_dup, "BLOCK", 3)
-    monkeypatch.setattr(near_dup, "trees_for", lambda percent: 12)
     base = prose(rnd, 100)
     check(spark, [(i, edited(rnd, base, rnd.randrange(2, 8))) for i in range(40)])
 
 
-def listed(monkeypatch):
-    """Counts of the pairs that are listed, as they come."""
-    counts, verified = [], near_dup._verified
+def counted(monkeypatch, *names):
+    """Rows of the functions' results, as they come."""
+    counts = dict.fromkeys(names, 0)
+    for name in names:
 
-    def spy(docs, classes, pairs, *more):
-        counts.append(pairs.count())
-        return verified(docs, classes, pairs, *more)
+        def spy(*given, name=name, real=getattr(near_dup, name)):
+            out = real(*given)
+            counts[name] += out.count()
+            return out
 
-    monkeypatch.setattr(near_dup, "_verified", spy)
+        monkeypatch.setattr(near_dup, name, spy)
     return counts
 
 
-def test_cluster_beyond_the_largest(spark, rnd, monkeypatch):
-    """Its pairs aren't listed: hubs link most of it, and the rest meets all in blocks."""
-    monkeypatch.setattr(near_dup, "MOST_CLUSTER", 40)
-    monkeypatch.setattr(near_dup, "CLUSTER_BLOCK", 16)
-    monkeypatch.setattr(near_dup, "STARS", 3, raising=False)
-    counts = listed(monkeypatch)
-    base = prose(rnd, 150)
-    texts = [edited(rnd, base, rnd.randrange(1, 3)) for _ in range(180)] + [edited(rnd, base, rnd.randrange(3, 7)) for _ in range(20)] + [prose(rnd, 60) for _ in range(20)]
-    check(spark, list(enumerate(texts)))
-    assert sum(counts) <= 3 * 200 + 220
-
-
-def test_cluster_that_hubs_leave(spark, rnd, monkeypatch):
-    """Too many are left outside: the trees split it, and list no pairs of their last level."""
-    monkeypatch.setattr(near_dup, "MOST_CLUSTER", 10)
-    monkeypatch.setattr(near_dup, "STARS", 1, raising=False)
-    monkeypatch.setattr(near_dup, "FEW", 1)
-    monkeypatch.setattr(near_dup, "BLOCK", 16)
-    monkeypatch.setattr(near_dup, "MOST_DEPTH", 1)
-    monkeypatch.setattr(near_dup, "trees_for", lambda percent: 12)
-    counts = listed(monkeypatch)
-    base = prose(rnd, 150)
-    check(spark, [(i, edited(rnd, base, rnd.randrange(3, 8))) for i in range(150)])
-    assert sum(counts) <= 10 * 150
-
-
-def test_trees_reach_their_recall():
-    meet = 0.75 * (1 - 0.25**near_dup.BRANCHES) ** (near_dup.MOST_DEPTH - 1)
-    assert (1 - meet) ** near_dup.trees_for(75) <= 2e-7
+def test_rows_follow_the_size_of_a_group(spark, rnd, monkeypatch):
+    """A group of near copies, and one that only shares a passage: neither lists its pairs."""
+    counts = counted(monkeypatch, "_small_pairs", "_star_pairs", "_branched")
+    base, passage = prose(rnd, 150), prose(rnd, 40)
+    made = []
+    for n in (60, 240):
+        counts |= dict.fromkeys(counts, 0)
+        texts = [edited(rnd, base, rnd.randrange(1, 3)) for _ in range(n)] + [f"{prose(rnd, 60)} {passage} {prose(rnd, 60)}" for _ in range(n)]
+        check(spark, list(enumerate(texts)))
+        made.append(dict(counts))
+    assert made[1]["_small_pairs"] + made[1]["_star_pairs"] <= 20 * 480
+    assert made[1]["_branched"] <= 12 * 480
+
+
+def near_pair(rnd, i):
+    """Two texts whose sets have 0.75 to 0.77 in common."""
+    words = [f"w{i}x{k}" for k in range(204)]
+    other = words[:]
+    for k in rnd.sample(range(5, 199, 7), 5 if i % 2 else 6):
+        other[k] = f"o{i}x{k}"
+    return " ".join(words), " ".join(other)
+
+
+def test_recall_at_the_threshold(spark, rnd):
+    """Links of the trees alone, against brute force."""
+    pairs = [near_pair(rnd, i) for i in range(400)]
+    wanted = set()
+    for i, (x, y) in enumerate(pairs):
+        common = len(shingles(x) & shingles(y))
+        ratio = common / (len(shingles(x)) + len(shingles(y)) - common)
+        if ratio >= 0.75:
+            assert ratio < 0.8
+            wanted.add(i)
+    assert len(wanted) > 150
+    rows = [(2 * i + k, t) for i, pair in enumerate(pairs) for k, t in enumerate(pair)]
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id % 2 = 1 and component_id = doc_id - 1").collect()
+    found = {r["doc_id"] // 2 for r in got}
+    assert found <= wanted and len(found) >= 0.99 * len(wanted)
+
+
+def test_one_tree_finds_a_share_of_them(spark, rnd, monkeypatch):
+    """What trees_for() counts on: one tree meets 0.75 ** 2 of the pairs at the threshold or more."""
+    monkeypatch.setattr(near_dup, "trees_for", lambda percent: 1)
+    rows = [(2 * i + k, t) for i in range(1, 800, 2) for k, t in enumerate(near_pair(rnd, i))]
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id % 2 = 1 and component_id = doc_id - 1").count()
+    assert 0.48 * 400 <= got <= 0.72 * 400
+
+
+def test_very_long_text(spark, rnd):
+    long = prose(rnd, 40_000)
+    check(spark, [(1, long), (2, long + " more"), (3, "x" * 300_000), (4, "x" * 300_000 + " y"), (5, long[: len(long) // 2])])
 
 
 def test_components_of_a_path(spark):

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute
@@ -26,10 +27,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path in the folder that driver and executors share.
 
     That is spark.checkpoint.dir; a folder of this machine is taken only
-    where the setting is missing, as in local tests.
+    where the setting is missing and driver and executors are one process.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         if app not in _own_base:
             _own_base[app] = "file://" + tempfile.mkdtemp(prefix="spark-tidewell-")
@@ -93,5 +96,13 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: int, max_bytes: int =
             yield part, [x or "" for x in part.column(column).to_pylist()]
 
 
-def arrow_map(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(function, schema)
+#: Rows of an Arrow batch of whole texts: Spark's own 10,000 of a few kilobytes each are tens of megabytes on both sides of a Python worker.
+BATCH_ROWS = 1000
+
+
+def text_batches(df: DataFrame) -> DataFrame:
+    """df, about to be mapped in Arrow batches: of BATCH_ROWS rows, unless the session asks for fewer."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df

@@ -43,8 +43,14 @@ def apply(raw: Column, knots: tuple[list[float], list[float]]) -> Column:
     x, y = knots
     xs = F.array(*[F.lit(float(v)) for v in x])
     ys = F.array(*[F.lit(float(v)) for v in y])
-    # The number of knots at or below the raw score, by bisection over at most a thousand knots.
-    below = F.size(F.filter(xs, lambda v: v <= raw))
+    # The number of knots at or below the raw score, by bisection: steps of falling powers of two are taken where they don't go too far.
+    n = len(x)
+    steps = F.array(*[F.lit(1 << k) for k in range(n.bit_length() - 1, -1, -1)])
+
+    def stepped(at: Column, step: Column) -> Column:
+        return F.when((at + step <= n) & (F.element_at(xs, F.least(at + step, F.lit(n))) <= raw), at + step).otherwise(at)
+
+    below = F.aggregate(steps, F.lit(0), stepped)
     here, there = F.element_at(ys, F.greatest(below, F.lit(1))), F.element_at(ys, F.least(below + 1, F.lit(len(x))))
     left, right = F.element_at(xs, F.greatest(below, F.lit(1))), F.element_at(xs, F.least(below + 1, F.lit(len(x))))
     inside = (below >= 1) & (below < len(x)) & (right > left)

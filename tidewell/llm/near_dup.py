@@ -2,23 +2,21 @@
 
 Documents with one set of shingles form a class; classes are what is compared.
 Every class has 64 minwise tokens and a sketch of four bits of each. A tree puts a
-class at the node of one chosen token. A node whose members are all linked by now
-is done. A node with few members outside its largest component is compared
-exhaustively: those few with all. Any other node branches: each member goes on
-to the nodes of three more chosen tokens. What is left at the greatest depth is
-compared exhaustively in blocks that hold the full sets. Independent trees repeat this until a pair at
-the threshold is met with the wanted probability.
-
-Trees can't part a group of thousands of copies, so such groups are found before:
-in a few shallow trees members whose sketches are like their node's hub form
-clusters. All pairs of a cluster are compared exactly, in blocks of bounded size that
-hold the full sets and give a spanning forest of links instead of pairs. For the
-trees a cluster is then one component: all its pairs are settled. In a cluster beyond
-MOST_CLUSTER all members are compared to STARS hubs first; members outside of its
-largest component are then compared to all, in the same blocks. Are these still more
-than MOST_CLUSTER, the trees split the cluster, with its components known, and what
-is left in their last level goes to such blocks too. So pairs are listed only where
-at most FEW meet the rest of a node. All links are confirmed on the full sets.
+class at the node that two chosen tokens name. A node of which all members are
+linked by now is done. A node with few members outside its largest component is
+compared exhaustively: those few with all. In any other node members that are like the
+most central one are linked to it, so a group of thousands of copies becomes one
+component at its first nodes and its pairs are settled. If too many are still apart,
+the node branches: each member goes on to the nodes of two more chosen tokens.
+Independent trees repeat this until a pair at the threshold is met with the wanted
+probability.
+
+Branches hardly part members that are nearly as much alike as linked ones. Nodes of
+such members, told by the mean agreement with some of the node, don't branch: they are
+joined where they overlap, so that no pair is met twice, and compared exhaustively in
+blocks that hold full sets, those outside the largest component with all, which gives a
+spanning forest of links instead of pairs. So are nodes at the greatest depth. No path
+lists all pairs of a group. All links are confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -36,17 +34,18 @@ from tidewell.llm.common import discard, join_checked, materialize, null_safe_ke
 
 #: Minwise tokens of a class.
 TOKENS = 64
-#: Branches of a member at a node that is split, and levels of nodes.
-BRANCHES, MOST_DEPTH = 3, 4
+#: Tokens that name a tree's first nodes, branches of a member at a node that is split, and levels of nodes.
+ROOT, BRANCHES, MOST_DEPTH = 2, 2, 12
 #: A node is compared exhaustively if no more members lie outside its largest component.
 FEW = 16
-#: Shallow trees of two tokens, in which members meet one hub, and tokens of 64 that must agree for a cluster: a similarity of about 0.3.
-HUB_TREES, LOOSE = 5, 23
-#: Classes of the largest cluster of which all pairs are compared, and of a block.
-MOST_CLUSTER, CLUSTER_BLOCK = 1 << 16, 256
-#: Hubs of a larger cluster.
-STARS = 16
-BLOCK = 64
+#: Members of a node by which its members' mean agreement is measured.
+DRAWN = 8
+#: Mean share of tokens in common from which on a node isn't split: below it two branches leave fewer rows than there were.
+DENSE = 0.4
+#: Sets of a block.
+BLOCK = 256
+#: Bytes of the longest word that a worker remembers.
+LONGEST_KEPT = 64
 #: Columns of a sketch.
 SKETCH = ("s0", "s1", "s2", "s3")
 #: Rows, of a digest and some numbers, that may be broadcast.
@@ -80,10 +79,11 @@ class Shingler:
         except KeyError:
             if len(known) > 200_000:
                 known.clear()
+            rare: dict[bytes, int] = {}
             for w in words:
                 if w not in known:
-                    known[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
-            hashed = [known[w] for w in words]
+                    (known if len(w) <= LONGEST_KEPT else rare)[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
+            hashed = [known[w] if w in known else rare[w] for w in words]
         h, k = np.array(hashed, M64), self.n_words
         if not len(h):
             return h
@@ -160,15 +160,19 @@ def _linked(percent: int):
     return run
 
 
-def _alike(x: list[Column], y: list[Column], least: int) -> Column:
-    """Whether two sketches agree in at least so many of the 64 tokens."""
+def _agreeing(x: list[Column], y: list[Column]) -> Column:
+    """In how many of the 64 tokens two sketches agree."""
     differ = F.lit(0)
     for a, b in zip(x, y, strict=True):
         z = a.bitwiseXOR(b)
         z = z.bitwiseOR(F.shiftright(z, 1))
         z = z.bitwiseOR(F.shiftright(z, 2))
         differ = differ + F.bit_count(z.bitwiseAND(F.lit(0x1111111111111111)))
-    return F.lit(TOKENS) - differ >= least
+    return F.lit(TOKENS) - differ
+
+
+def _sketch_of(struct: str | None = None) -> list[Column]:
+    return [F.col(f"{struct}.{c}" if struct else c) for c in SKETCH]
 
 
 def least_alike(percent: int) -> int:
@@ -177,16 +181,23 @@ def least_alike(percent: int) -> int:
     return max(0, math.floor(TOKENS * p - 5 * math.sqrt(TOKENS * p * (1 - p))))
 
 
-def trees_for(percent: int, missed: float = 2e-7) -> int:
-    """Trees in which a pair at the threshold meets at least once, but for the probability missed."""
-    p = percent / 100
-    meet = p * (1 - (1 - p) ** BRANCHES) ** (MOST_DEPTH - 1)
-    return min(TOKENS, math.ceil(math.log(missed) / math.log(1 - meet)))
+def trees_for(percent: int, missed: float = 1e-5) -> int:
+    """Trees in which a pair at the threshold meets at least once, but for the probability missed.
+
+    Trees begin with tokens of their own, so their first nodes are independent; a
+    pair that goes on is lost at a node if it shares none of the branches' tokens.
+    """
+    p, stays = percent / 100, 1.0
+    for _ in range(MOST_DEPTH - 1):
+        stays = 1 - (1 - p * stays) ** BRANCHES
+    return min(TOKENS // ROOT, math.ceil(math.log(missed) / math.log(1 - p**ROOT * stays)))
 
 
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int, n_words: int, label: str) -> DataFrame:
     """The pairs (a, b) of digests whose full sets are linked. docs: doc_id, text."""
     pairs = materialize(pairs, f"{label}-pairs")
+    if pairs.isEmpty():
+        return pairs
     sized = classes.select("digest", "n_shingles", "first_id")
     ends = pairs.select(F.col("a").alias("digest")).unionByName(pairs.select(F.col("b").alias("digest"))).distinct()
     wanted = materialize(ends.join(sized, "digest").select(*null_safe_key("first_id")).distinct(), f"{label}-wanted")
@@ -233,19 +244,6 @@ def connected(links: DataFrame) -> DataFrame:
     return labels.select("node", "root")
 
 
-def _clusters(classes: DataFrame) -> DataFrame:
-    """Rows (digest, cluster) of classes that are like their hub, or a hub, in shallow trees of two tokens."""
-    paths = [F.xxhash64(F.lit(-1 - t), F.element_at("tokens", TOKENS - 2 * t), F.element_at("tokens", TOKENS - 2 * t - 1)) for t in range(HUB_TREES)]
-    rows = classes.select("digest", *SKETCH, F.explode(F.array(*paths)).alias("node"))
-    hub = F.min(F.struct(F.xxhash64("node", "digest").alias("draw"), "digest", *SKETCH))
-    hubs = materialize(rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), hub.alias("hub")).where(F.col("n") > 1).select("node", "hub"), "near-hubs")
-    met = join_checked(rows, hubs, ["node"], "inner", FEW_ROWS).where(F.col("digest") != F.col("hub.digest"))
-    met = met.where(_alike([F.col(c) for c in SKETCH], [F.col(f"hub.{c}") for c in SKETCH], LOOSE))
-    found = connected(met.select(F.col("digest").alias("a"), F.col("hub.digest").alias("b")).distinct())
-    discard(hubs)
-    return found.select(F.col("node").alias("digest"), F.col("root").alias("cluster"))
-
-
 def _forest(percent: int):
     """Links of a block: of every pair of documents whose sets are linked, or of different blocks if the block is of two."""
 
@@ -327,90 +325,139 @@ def _block_links(docs: DataFrame, classes: DataFrame, rows: DataFrame, size: int
     return links
 
 
-def _parts(rows: DataFrame) -> DataFrame:
-    """Rows (digest, part, comp) with n, outside and out: the part's classes, those outside its largest component, and whether a class is one."""
-    counts = rows.groupBy("part", "comp").agg(F.count(F.lit(1)).alias("n"))
-    sizes = counts.groupBy("part").agg(F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("top"))
-    sizes = sizes.select("part", "n", (F.col("n") - F.col("top.n")).alias("outside"), F.col("top.comp").alias("major"))
-    return rows.join(sizes, "part").select("digest", "part", "comp", "n", "outside", (F.col("comp") != F.col("major")).alias("out"))
-
-
-def _star_links(docs: DataFrame, classes: DataFrame, clusters: DataFrame, percent: int, n_words: int) -> DataFrame:
-    """Links (a, b) of the classes of each cluster (digest, part) to STARS of them."""
-    hubs = [F.min(F.struct(F.xxhash64(F.lit(k), "digest"), "digest")).alias(f"h{k}") for k in range(STARS)]
-    hubs = clusters.groupBy("part").agg(*hubs).select("part", F.explode(F.array_distinct(F.array(*[F.col(f"h{k}.digest") for k in range(STARS)]))).alias("b"))
-    sketches = classes.select(F.col("digest").alias("b"), F.struct(*SKETCH).alias("hub"))
-    hubs = materialize(hubs.join(sketches, "b"), "near-stars")
-    rows = clusters.join(classes.select("digest", *SKETCH), "digest")
-    met = join_checked(rows, hubs, ["part"], "inner", FEW_ROWS).where(F.col("digest") != F.col("b"))
-    met = met.where(_alike([F.col(c) for c in SKETCH], [F.col(f"hub.{c}") for c in SKETCH], least_alike(percent)))
-    links = _verified(docs, classes, met.select(F.col("digest").alias("a"), "b").distinct(), percent, n_words, "near-star")
-    discard(hubs)
-    return links
+MEMBER = ("digest", "node", *SKETCH)
+
+
+def _first_nodes(classes: DataFrame, n_trees: int) -> DataFrame:
+    """Rows MEMBER of the classes that share a tree's first node with another class."""
+    paths = F.array(*[F.xxhash64(F.lit(t), *[F.element_at("tokens", ROOT * t + k + 1) for k in range(ROOT)]) for t in range(n_trees)])
+    nodes = classes.select(F.explode(paths).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("node")
+    nodes = materialize(nodes, "tree-shared")
+    rows = classes.select("digest", *SKETCH, F.explode(paths).alias("node"))
+    rows = materialize(join_checked(rows, nodes, ["node"], "left_semi").select(*MEMBER), "tree-rows")
+    discard(nodes)
+    return rows
+
+
+def _with_nodes(rows: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """Rows of nodes with several components, with comp, and n, major and outside of the node: members, largest component, members not in it.
+
+    comps: (digest, comp) of linked classes; any other class is a component of its own.
+    """
+    own = F.xxhash64("digest")
+    rows = rows.withColumn("comp", own) if comps is None else join_checked(rows, comps, ["digest"], "left", FEW_ROWS).withColumn("comp", F.coalesce("comp", own))
+    rows = materialize(rows, "tree-labelled")
+    counts = rows.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("n"))
+    nodes = counts.groupBy("node").agg(F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("top"))
+    nodes = nodes.select("node", "n", F.col("top.comp").alias("major"), (F.col("n") - F.col("top.n")).alias("outside")).where(F.col("outside") > 0)
+    nodes = materialize(nodes, "tree-nodes")
+    # A join alone in its stage, so that a node with a large part of all rows can be split among tasks.
+    met = materialize(join_checked(rows, nodes, ["node"], "inner", FEW_ROWS), "tree-met")
+    discard(rows, nodes)
+    return met
+
+
+def _small_pairs(met: DataFrame, least: int) -> DataFrame:
+    """Pairs (a, b) of small nodes: those outside the largest component with all members of other components whose sketches are alike."""
+    small = met.where(F.col("outside") <= FEW)
+    others = small.where(F.col("comp") != F.col("major")).groupBy("node").agg(F.collect_list(F.struct("digest", "comp", *SKETCH)).alias("others"))
+    others = materialize(others, "tree-others")
+
+    def fits(x: Column) -> Column:
+        # Two that are both among the others would meet twice.
+        once = (F.col("comp") == F.col("major")) | (F.col("digest") < x["digest"])
+        return (x["comp"] != F.col("comp")) & once & (_agreeing(_sketch_of(), [x[c] for c in SKETCH]) >= least)
+
+    pairs = join_checked(small, others, ["node"], "inner", FEW_ROWS // 16).select("digest", F.explode(F.filter("others", fits)).alias("x"))
+    return pairs.select(F.least("digest", "x.digest").alias("a"), F.greatest("digest", "x.digest").alias("b"))
+
+
+def _drawn(met: DataFrame) -> DataFrame:
+    """Members of large nodes with density, the node's mean agreement with DRAWN members, and centre, the member whose own mean is highest."""
+    large = met.where(F.col("outside") > FEW)
+    draws = [F.min(F.struct(F.xxhash64("node", "digest", F.lit(k)), *SKETCH)).alias(f"x{k}") for k in range(DRAWN)]
+    hubs = materialize(large.groupBy("node").agg(*draws), "tree-drawn")
+    total = sum((_agreeing(_sketch_of(), _sketch_of(f"x{k}")) for k in range(DRAWN)), F.lit(0))
+    told = join_checked(large, hubs, ["node"], "inner", FEW_ROWS // 8).withColumn("mean", total / F.lit(float(DRAWN * TOKENS))).drop(*[f"x{k}" for k in range(DRAWN)])
+    told = materialize(told, "tree-told")
+    centres = materialize(told.groupBy("node").agg(F.max(F.struct("mean", "digest", "comp", *SKETCH)).alias("centre"), F.avg("mean").alias("density")), "tree-centres")
+    out = materialize(join_checked(told, centres, ["node"], "inner", FEW_ROWS // 8), "tree-large")
+    discard(hubs, told, centres)
+    return out
 
 
-def _cluster_links(docs: DataFrame, classes: DataFrame, clusters: DataFrame, percent: int, n_words: int) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b) of clusters (digest, cluster, n), and rows (digest, comp): classes of one comp are linked, or their pairs are settled."""
-    rows = clusters.select("digest", F.xxhash64("cluster").alias("part"), "n")
-    small = rows.where(F.col("n") <= MOST_CLUSTER).select("digest", "part", "n", F.col("n").alias("outside"), F.lit(True).alias("out"))
-    large = rows.where(F.col("n") > MOST_CLUSTER).select("digest", "part")
-    if large.isEmpty():
-        return _block_links(docs, classes, small, CLUSTER_BLOCK, percent, n_words), rows.select("digest", F.col("part").alias("comp"))
-    stars = _star_links(docs, classes, large, percent, n_words)
-    roots = connected(stars).select(F.col("node").alias("digest"), F.xxhash64("root").alias("comp"))
-    own = large.join(roots, "digest", "left").select("digest", "part", F.coalesce("comp", F.xxhash64("digest")).alias("comp"))
-    own = materialize(_parts(own), "near-large")
-    settled = own.where(F.col("outside") <= MOST_CLUSTER)
-    dealt = small.unionByName(settled.where(F.col("outside") > 0).select(small.columns))
-    links = _block_links(docs, classes, dealt, CLUSTER_BLOCK, percent, n_words)
-    comps = small.unionByName(settled.select(small.columns)).select("digest", F.col("part").alias("comp"))
-    return links.unionByName(stars), comps.unionByName(own.where(F.col("outside") > MOST_CLUSTER).select("digest", "comp"))
-
-
-def _tree_pairs(classes: DataFrame, least: int, n_trees: int) -> tuple[DataFrame, DataFrame | None]:
-    """Pairs of classes of different components that meet in a small node and have sketches alike, and the parts that are left for blocks. classes has comp."""
-    member = ("digest", "comp", *SKETCH)
+def _star_pairs(drawn: DataFrame, least: int) -> DataFrame:
+    """Pairs (a, b): every member with the one centre that it is most like, of the nodes it is in."""
+    like = drawn.where(F.col("comp") != F.col("centre.comp"))
+    like = like.select("digest", F.struct(_agreeing(_sketch_of(), _sketch_of("centre")).alias("agree"), F.col("centre.digest").alias("hub")).alias("best")).where(F.col("best.agree") >= least)
+    like = like.groupBy("digest").agg(F.max("best").alias("best"))
+    return like.select(F.least("digest", "best.hub").alias("a"), F.greatest("digest", "best.hub").alias("b"))
+
+
+def _cores(rows: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """Parts for _block_links() of rows (digest, node): nodes that share members are one part."""
+    edges = rows.select(F.col("digest").alias("a"), F.unhex(F.hex("node")).alias("b"))
+    parts = connected(edges).select(F.col("node").alias("digest"), F.xxhash64("root").alias("part"))
+    members = rows.select("digest").distinct().join(parts, "digest").withColumnRenamed("part", "node")
+    met = _with_nodes(members.select("digest", "node"), comps)
+    return met.select("digest", F.col("node").alias("part"), "n", "outside", (F.col("comp") != F.col("major")).alias("out"))
+
+
+def _branched(large: DataFrame, classes: DataFrame) -> DataFrame:
+    """Rows MEMBER of the children: by BRANCHES tokens that the node chooses."""
     tokens = classes.select(F.col("digest").alias("_digest"), "tokens")
-    paths = F.array(*[F.xxhash64(F.lit(t), F.element_at("tokens", t + 1)) for t in range(n_trees)])
-    rows = classes.select(*member, F.explode(paths).alias("node"))
-    found: list[DataFrame] = []
-    left: DataFrame | None = None
-
-    def pairs(rows: DataFrame, others: str = "others") -> DataFrame:
-        """Pairs of every row and those of its node's others that belong to another component."""
-
-        def fits(x: Column) -> Column:
-            # Two that are both among the others would meet twice.
-            once = (F.col("comp") == F.col("major")) | (F.col("digest") < x["digest"])
-            return (x["comp"] != F.col("comp")) & once & _alike([F.col(c) for c in SKETCH], [x[c] for c in SKETCH], least)
-
-        met = rows.select("digest", F.explode(F.filter(others, fits)).alias("x"))
-        return met.select(F.least("digest", "x.digest").alias("a"), F.greatest("digest", "x.digest").alias("b")).distinct()
-
-    for depth in range(MOST_DEPTH):
-        mixed = rows.groupBy("node").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where(F.col("low") < F.col("high")).select("node")
-        rows = materialize(join_checked(rows, materialize(mixed, "tree-mixed"), ["node"], "left_semi"), "tree-rows")
-        counts = rows.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("n"))
-        nodes = counts.groupBy("node").agg(F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("top"))
-        nodes = materialize(nodes.select("node", F.col("top.comp").alias("major"), (F.col("n") - F.col("top.n")).alias("outside"), "n"), "tree-nodes")
-        met = rows.join(nodes, "node")
-        few = met.where(F.col("outside") <= FEW)
-        others = few.where(F.col("comp") != F.col("major")).groupBy("node").agg(F.collect_list(F.struct(*member)).alias("others"))
-        found.append(materialize(pairs(few.join(others, "node")), "tree-pairs"))
-        many = met.where(F.col("outside") > FEW)
-        if nodes.where(F.col("outside") > FEW).isEmpty():
-            break
-        if depth + 1 < MOST_DEPTH:
-            branch = many.select(*member, "node", F.explode(F.array(*map(F.lit, range(BRANCHES)))).alias("j"))
-            branch = branch.withColumn("k", (F.pmod(F.xxhash64("node", "j"), F.lit(TOKENS)) + 1).cast("int"))
-            branch = branch.join(tokens, F.col("digest") == F.col("_digest"))
-            rows = materialize(branch.select(*member, F.xxhash64("node", "j", F.element_at("tokens", F.col("k"))).alias("node")).distinct(), "tree-rows")
-        else:
-            left = materialize(many.select("digest", F.col("node").alias("part"), "n", "outside", (F.col("comp") != F.col("major")).alias("out")), "tree-left")
-    out = found[0]
-    for more in found[1:]:
+    met = large.select(*MEMBER).join(tokens, F.col("digest") == F.col("_digest"))
+
+    def child(j: int) -> Column:
+        chosen = (F.pmod(F.xxhash64("node", F.lit(j)), F.lit(TOKENS)) + 1).cast("int")
+        return F.xxhash64("node", F.lit(j), F.element_at("tokens", chosen))
+
+    return met.select("digest", *SKETCH, F.explode(F.array(*map(child, range(BRANCHES)))).alias("node")).select(*MEMBER)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for more in parts[1:]:
         out = out.unionByName(more)
-    return out.distinct(), left
+    return out
+
+
+def _components(links: list[DataFrame]) -> DataFrame:
+    """Rows (digest, comp) of all classes with links."""
+    return materialize(connected(_union(links)).select(F.col("node").alias("digest"), F.xxhash64("root").alias("comp")), "tree-comps")
+
+
+def chosen_path_links(docs: DataFrame, classes: DataFrame, percent: int, n_words: int, n_trees: int) -> DataFrame:
+    """Links (a, b) of digests that join all classes whose sets are linked. docs: doc_id, text; classes are materialised."""
+    least, links, comps, cores = least_alike(percent), [], None, []
+    rows = _first_nodes(classes, n_trees)
+    for depth in range(MOST_DEPTH + 1):  # after the last, only nodes with few outside are left
+        met = _with_nodes(rows, comps)
+        crowded = not met.where(F.col("outside") > FEW).isEmpty()
+        pairs = _small_pairs(met, least)
+        if crowded:
+            drawn = _drawn(met)
+            pairs = pairs.unionByName(_star_pairs(drawn, least))
+        found = _verified(docs, classes, pairs.distinct(), percent, n_words, "tree")
+        if not found.isEmpty():
+            links.append(found)
+            comps = _components(links)
+        discard(rows, met)
+        if not crowded:
+            break
+        # Links may have settled a node, or left few outside; such nodes aren't split.
+        again = _with_nodes(drawn.select(*MEMBER, "density"), comps)
+        discard(drawn)
+        large, last = again.where(F.col("outside") > FEW), F.lit(depth + 1 >= MOST_DEPTH)
+        cores.append(materialize(large.where((F.col("density") >= DENSE) | last).select("digest", "node"), "tree-core"))
+        settling = again.where(F.col("outside") <= FEW).select(*MEMBER)
+        rows = materialize(settling.unionByName(_branched(large.where((F.col("density") < DENSE) & ~last), classes)), "tree-rows")
+        discard(again)
+    if cores:
+        links.append(_block_links(docs, classes, materialize(_cores(_union(cores), comps), "tree-parts"), BLOCK, percent, n_words))
+    if not links:
+        return docs.sparkSession.createDataFrame([], "a binary, b binary")
+    return _union(links)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, n_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -426,24 +473,14 @@ def near_duplicates(docs: DataFrame, percent: int = 75, n_words: int = 5, id_col
     if no document of it has an id, and then it is kept. An empty table gives an empty
     result. Only the two columns named are read, so other columns never clash.
     """
-    least, slim = least_alike(percent), docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     marks = materialize(slim.mapInArrow(_marks(n_words), "doc_id long, n_shingles long, digest binary, tokens array<int>, " + ", ".join(f"{c} long" for c in SKETCH)), "near-marks")
     firsts = [F.any_value(c).alias(c) for c in ("n_shingles", "tokens", *SKETCH)]
     classes = materialize(marks.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("first_id"), *firsts), "near-classes")
-    clusters = _clusters(classes)
-    sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
-    clusters = materialize(clusters.join(sizes, "cluster").select("digest", "cluster", "n"), "near-clusters")
-    links, comps = _cluster_links(slim, classes, clusters, percent, n_words)
-    labelled = materialize(join_checked(classes, materialize(comps, "near-comps"), ["digest"], "left", FEW_ROWS).withColumn("comp", F.coalesce("comp", F.xxhash64("digest"))), "near-labelled")
-    discard(classes)
-    classes = labelled
-    pairs, left = _tree_pairs(labelled, least, trees_for(percent))
-    more = _verified(slim, classes, pairs, percent, n_words, "near-tree")
-    if left is not None:
-        more = more.unionByName(_block_links(slim, classes, left, BLOCK, percent, n_words))
-    roots = connected(links.unionByName(more)).select(F.col("node").alias("digest"), "root")
+    links = chosen_path_links(slim, classes, percent, n_words, trees_for(percent))
+    roots = connected(links).select(F.col("node").alias("digest"), "root")
     linked = materialize(classes.select("digest", "first_id").join(roots, "digest"), "near-linked")
-    discard(classes, clusters, links, more)
+    discard(classes)
     least_ids = linked.groupBy("root").agg(F.min("first_id").alias("_least"))
     named = linked.join(least_ids, "root").select("digest", "_least")
     # Only classes of several rows or with links can have another's id.
