@@ -37,7 +37,7 @@ TOKENS = 64
 #: Tokens that name a tree's first nodes, branches of a member at a node that is split, and levels of nodes.
 ROOT, BRANCHES, MOST_DEPTH = 2, 2, 12
 #: A node is compared exhaustively if no more members lie outside its largest component.
-FEW = 16
+FEW = 32
 #: Members of a node by which its members' mean agreement is measured.
 DRAWN = 8
 #: Mean share of tokens in common from which on a node isn't split: below it two branches leave fewer rows than there were.
@@ -368,7 +368,7 @@ def _small_pairs(met: DataFrame, least: int) -> DataFrame:
         once = (F.col("comp") == F.col("major")) | (F.col("digest") < x["digest"])
         return (x["comp"] != F.col("comp")) & once & (_agreeing(_sketch_of(), [x[c] for c in SKETCH]) >= least)
 
-    pairs = join_checked(small, others, ["node"], "inner", FEW_ROWS // 16).select("digest", F.explode(F.filter("others", fits)).alias("x"))
+    pairs = join_checked(small, others, ["node"], "inner", FEW_ROWS // 32).select("digest", F.explode(F.filter("others", fits)).alias("x"))
     return pairs.select(F.least("digest", "x.digest").alias("a"), F.greatest("digest", "x.digest").alias("b"))
 
 
