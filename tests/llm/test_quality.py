@@ -1,8 +1,11 @@
+import hashlib
 import math
 import re
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.conftest import ODD_TEXTS, prose
 from tidewell.llm import isotonic, quality_classifier, quality_rules
@@ -23,88 +26,149 @@ def brute_figures(text):
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(covered)
 
 
-def test_rules_and_bands(spark, rnd):
-    clean = [prose(rnd, rnd.randrange(20, 200)) for _ in range(120)]
-    noise = ["".join(rnd.choice("qzxjvw#%&$") for _ in range(9)) for _ in range(60)]
-    repeats = [prose(rnd, 15) + "\n"] * 4
-    rows = [(i, "xx", t) for i, t in enumerate([*ODD_TEXTS, *clean, " ".join(noise), "".join(repeats)])] + [(None, None, clean[0]), (7, "yy", clean[1]), (7, "yy", clean[1])]
-    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
-    got = quality_rules.quality_rules(df).collect()
-    assert len(got) == len(rows)
-    want = sorted((repr(d), repr(lang), *brute_figures(t)) for d, lang, t in rows)
-    assert sorted((repr(r["doc_id"]), repr(r["lang"]), *(r[c] for c in quality_rules.FIGURES)) for r in got) == want
-    for r in got:
-        assert r["base_failed"] == (r["n_words"] < 20 or 100 * r["n_repeat_words"] > 30 * r["n_words"])
-    of = {r["doc_id"]: r for r in got if r["lang"] == "xx"}
-    n = len(ODD_TEXTS)
-    assert all(of[i]["kept"] for i in range(n, n + len(clean)))
-    assert not of[n + len(clean)]["base_failed"] and not of[n + len(clean)]["kept"]
-    assert of[n + len(clean) + 1]["base_failed"]
-    assert all(r["kept"] for r in got if r["lang"] == "yy" or r["doc_id"] is None)  # too few to have bands
-
-
-def test_rare_languages_have_a_verdict(spark, rnd):
-    clean = [prose(rnd, rnd.randrange(40, 200)) for _ in range(120)]
-    junk = [" ".join("".join(rnd.choice("qzxjvw#%&$") for _ in range(9)) for _ in range(60)) for _ in range(2)]
-    rows = [(i, "xx", t) for i, t in enumerate(clean[:100])] + [(i + 100, "zz", t) for i, t in enumerate(clean[100:])]
-    rows += [(200, "rare", junk[0]), (201, None, junk[1]), (202, None, prose(rnd, 90)), (203, "zz", junk[0][::-1])]
-    for some in (rows, rows[:30] + rows[-4:]):  # also where no language has bands
-        got = {r["doc_id"]: r for r in quality_rules.quality_rules(spark.createDataFrame(some, "doc_id long, lang string, text string")).collect()}
-        assert len(got) == len(some) and all(r["low"] is not None for r in got.values())
-        assert not any(got[i]["base_failed"] for i in (200, 201, 203)) and not any(got[i]["kept"] for i in (200, 201))
-        assert all(got[i]["kept"] for i, _, _ in some if i < 200 or i == 202)
-        assert some is not rows or not got[203]["kept"]
+def noisy(rnd, n):
+    return " ".join("".join(rnd.choice("qzxjvwkyé#%&$") for _ in range(9)) for _ in range(n))
 
 
-def test_no_documents(spark):
-    df = spark.createDataFrame([], "doc_id long, lang string, text string")
-    assert quality_rules.quality_rules(df).collect() == []
-
-
-def brute_kneser_ney(texts):
-    """Interpolated modified Kneser-Ney by dictionaries: a function (context, symbol) -> probability."""
-    order, bits = quality_rules.ORDER, quality_rules.BITS
-    counts = {order: {}}
+def brute_model(texts):
+    """Interpolated modified Kneser-Ney by dictionaries: parts (a, b) of the probability of a gram's last unit, a + b * fallback."""
+    order = quality_rules.ORDER
+    counts = {order: Counter()}
     for text in texts:
-        s = quality_rules.fold(text).tolist()
-        for i in range(len(s) - order + 1):
-            g = tuple(s[i : i + order])
-            counts[order][g] = counts[order].get(g, 0) + 1
+        counts[order].update(units_of(text))
     for n in range(order - 1, 0, -1):
-        counts[n] = {}
-        for g in counts[n + 1]:
-            counts[n][g[1:]] = counts[n].get(g[1:], 0) + 1
-    discounts = {}
+        counts[n] = Counter(g[1:] for g in counts[n + 1])
+    discounts, totals, left = {}, defaultdict(float), defaultdict(float)
     for n, table in counts.items():
         c = [sum(v == k for v in table.values()) for k in range(6)]
         y = c[1] / (c[1] + 2 * c[2]) if c[1] else 0
-        discounts[n] = [max(0.05 * k, min(0.95 * k, k - (k + 1) * y * c[k + 1] / c[k])) if c[1] and c[k] and c[k + 1] else 0.5 * k for k in (1, 2, 3)]
-
-    def p(context, w):
-        n = len(context) + 1
-        lower = p(context[1:], w) if n > 1 else 1 / (1 << bits)
-        own = {g: v for g, v in counts[n].items() if g[:-1] == context}
-        total = sum(own.values())
+        discounts[n] = [0, *(max(0.05 * k, min(0.95 * k, k - (k + 1) * y * c[k + 1] / c[k])) if c[1] and c[k] and c[k + 1] else 0.5 * k for k in (1, 2, 3))]
+        for g, v in table.items():
+            totals[g[:-1]] += v
+            left[g[:-1]] += discounts[n][min(v, 3)]
+
+    def parts(g):
+        a, b = parts(g[1:]) if len(g) > 1 else (0.0, 1.0)
+        total = totals[g[:-1]]
         if not total:
-            return lower
-        d = {g: discounts[n][min(v, 3) - 1] for g, v in own.items()}
-        g = (*context, w)
-        return (own.get(g, 0) - d.get(g, 0)) / total + sum(d.values()) / total * lower
-
-    return p
-
-
-def test_model_against_brute_force(spark, rnd):
-    texts = [prose(rnd, 20) for _ in range(4)]
-    df = spark.createDataFrame([(i, "xx", t) for i, t in enumerate(texts)], "doc_id long, lang string, text string")
-    p = brute_kneser_ney(texts)
-    new = prose(rnd, 8) + " ŵ#"
-    got = quality_rules.entropies(spark.createDataFrame([(1, "xx", new)], "doc_id long, lang string, text string"), quality_rules.kneser_ney(df), ["doc_id"]).first()
-    s = quality_rules.fold(new).tolist()
-    each = [-math.log2(p(tuple(s[i : i + 3]), s[i + 3])) for i in range(len(s) - 3)]
-    assert got["chars"] == len(each)
-    assert got["bits"] == pytest.approx(sum(each), rel=1e-4) and got["squares"] == pytest.approx(sum(x * x for x in each), rel=1e-4)
-    assert sum(p(tuple(s[:3]), w) for w in range(quality_rules.SYMBOLS)) == pytest.approx(1)
+            return a, b
+        v = counts[len(g)][g]
+        return (v - discounts[len(g)][min(v, 3)]) / total + left[g[:-1]] / total * a, left[g[:-1]] / total * b
+
+    return parts
+
+
+def units_of(text):
+    raw = text.encode("utf-16-le", "surrogatepass")
+    units = [0] * 3 + [raw[i] + 256 * raw[i + 1] for i in range(0, len(raw), 2)]
+    return [tuple(units[i : i + 4]) for i in range(len(units) - 3)]
+
+
+def brute_entropies(rows):
+    """(lang, text) -> (units, bits, squares), each text by the other fold's models of its language and of all."""
+    distinct = sorted({(lang, t or "") for lang, t in rows}, key=repr)
+    fold = {x: hashlib.md5(x[1].encode()).digest()[8] & 1 for x in distinct}
+
+    def reads(t):
+        n, _, symbols, _, repeat = brute_figures(t)
+        return n >= 20 and 100 * repeat <= 30 * n and symbols <= 0.1 * n
+
+    own = {(lang, f): brute_model([t for x, t in distinct if x == lang and fold[x, t] == f and reads(t)]) for lang in {x for x, _ in distinct} for f in (0, 1)}
+    pool = {f: brute_model([t for x, t in distinct if fold[x, t] == f and reads(t)]) for f in (0, 1)}
+    out = {}
+    for lang, t in distinct:
+        f = 1 - fold[lang, t]
+        h = []
+        for g in units_of(t):
+            (a, b), (c, d) = own[lang, f](g), pool[f](g)
+            h.append(-math.log2(a + b * (c + d / 65536)))
+        out[lang, t] = len(h), sum(h), sum(x * x for x in h)
+    return out
+
+
+def corpus(rnd):
+    other = {a: b for a, b in zip("aeiournst", "oauiemrvd", strict=True)}
+    rows = [("xx", prose(rnd, rnd.randrange(20, 120))) for _ in range(40)] + [("yy", "".join(other.get(c, c) for c in prose(rnd, 50))) for _ in range(25)]
+    rows += [(None, prose(rnd, 50)), ("zz", prose(rnd, 50)), ("xx", noisy(rnd, 40)), ("yy", noisy(rnd, 40)), (None, noisy(rnd, 40)), ("zz", noisy(rnd, 30)), ("xx", (prose(rnd, 15) + "\n") * 4)]
+    return rows + [rows[0]] * 5 + [("yy", rows[0][1])] + [("xx", t) for t in ODD_TEXTS]
+
+
+def test_entropies_against_brute_force(spark, rnd, monkeypatch):
+    monkeypatch.setattr(quality_rules, "SLICE_BYTES", 4000)
+    monkeypatch.setattr(quality_rules, "PART_ENTRIES", 1500)
+    monkeypatch.setattr(quality_rules, "ASKED_TOGETHER", 4000)
+    rows = corpus(rnd)
+    df = spark.createDataFrame([("=" + x if x else "", t or "") for x, t in rows], "lang string, text string").repartition(3)
+    got = {(r["lang"], bytes(r["digest"])): r for r in quality_rules.entropies(df).collect()}
+    want = brute_entropies(rows)
+    assert len(got) == len(want)
+    for (lang, t), (units, bits, squares) in want.items():
+        r = got["=" + lang if lang else "", hashlib.md5(t.encode()).digest()]
+        assert tuple(r[c] for c in quality_rules.FIGURES) == brute_figures(t)
+        assert r["units"] == units and r["bits"] == pytest.approx(bits, rel=1e-4) and r["squares"] == pytest.approx(squares, rel=1e-4)
+
+
+def percentile(values, p):
+    return sorted(values)[max(1, math.ceil(p * len(values))) - 1]
+
+
+def brute_verdicts(rows):
+    """(lang, text) -> (base_failed, low, high, kept)."""
+    told = {}
+    for (lang, t), (units, bits, _) in brute_entropies(rows).items():
+        n, _, symbols, _, repeat = brute_figures(t)
+        failed = n < 20 or 100 * repeat > 30 * n
+        told[lang, t] = failed, not failed and symbols <= 0.1 * n, bits / units if units else None, math.sqrt(1 / units + 1 / quality_rules.LONG) if units else None
+    good = {k: v for k, v in told.items() if v[1]}
+    whole = percentile([v[2] for v in good.values()], 0.5)
+    mid, count = {}, Counter(lang for lang, _ in good)
+    for lang in {x for x, _ in told}:
+        own = [v[2] for (x, _), v in good.items() if x == lang]
+        n = len(own)
+        mid[lang] = ((n * percentile(own, 0.5) if own else 0) + quality_rules.PRIOR_DOCS * whole) / (n + quality_rules.PRIOR_DOCS)
+    off = [(lang, (v[2] - mid[lang]) / v[3]) for (lang, _), v in good.items()]
+    var = lambda z: ((percentile(z, 0.75) - percentile(z, 0.25)) / 1.349) ** 2
+    out = {}
+    for (lang, t), (failed, _, h, scale) in told.items():
+        own, n = [z for x, z in off if x == lang], count[lang]
+        dev = math.sqrt(((n * var(own) if own else 0) + quality_rules.PRIOR_SPREAD * var([z for _, z in off])) / (n + quality_rules.PRIOR_SPREAD)) * math.sqrt(1 + math.pi / 2 / max(n, 1))
+        one = max(dev * scale, quality_rules.LEAST_DEVIATION) if scale else None
+        low, high = (mid[lang] - quality_rules.LOWER * one, mid[lang] + quality_rules.UPPER * one) if one else (None, None)
+        out[lang, t] = failed, low, high, not failed and low <= h <= high
+    return out
+
+
+def test_verdicts_against_brute_force(spark, rnd):
+    rows = corpus(rnd)
+    df = spark.createDataFrame([(None if i == 7 else i % 50, x, t) for i, (x, t) in enumerate(rows)], "doc_id long, lang string, text string").withColumn("digest", F.lit(1)).withColumn("low", F.lit("k")).withColumn("slice", F.lit(2))
+    got, want = quality_rules.quality_rules(df).collect(), brute_verdicts(rows)
+    by_figures = lambda x, t, v: (repr(x), *brute_figures(t), v[0], v[3])
+    assert sorted((repr(r["lang"]), *(r[c] for c in quality_rules.FIGURES), r["base_failed"], r["kept"]) for r in got) == sorted(by_figures(x, t, want[x, t or ""]) for x, t in rows)
+    for c, k in (("low", 1), ("high", 2)):
+        assert sorted(r[c] for r in got if r[c] is not None) == pytest.approx(sorted(want[x, t or ""][k] for x, t in rows if t), abs=0.005)
+    noise = [r for r in got if r["n_words"] in (30, 40) and r["n_symbols"] > 10]
+    assert len(noise) == 4 and not any(r["kept"] or r["base_failed"] for r in noise)
+    assert all(r["kept"] for r in got if not r["base_failed"] and r["n_symbols"] == 0)
+
+
+def test_noise_is_rejected_and_clean_texts_stay(spark):
+    sf = "/root/testdata/sf0.01"
+    got = quality_rules.op4_quality_rules(spark, sf).where("not base_failed").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").collect()
+    bad, good = [r["kept"] for r in got if r["quality"] == 0], [r["kept"] for r in got if r["quality"] == 1]
+    assert len(bad) > 10 and sum(bad) <= 0.1 * len(bad) and sum(good) >= 0.98 * len(good)
+
+
+def test_very_long_text(spark, rnd):
+    rows = [(1, "xx", prose(rnd, 60_000)), (2, "xx", "x" * 500_000), (3, "xx", prose(rnd, 50)), (4, "xx", prose(rnd, 50))]
+    got = {r["doc_id"]: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, lang string, text string")).collect()}
+    assert got[1]["n_words"] == 60_000 and got[2]["n_words"] == 1 and not got[2]["kept"] and len(got) == 4
+
+
+def test_no_documents(spark):
+    df = spark.createDataFrame([], "doc_id long, lang string, text string")
+    assert quality_rules.quality_rules(df).collect() == []
+    odd = spark.createDataFrame([(1, None, None), (2, "xx", "a b")], "doc_id long, lang string, text string")
+    assert [r["kept"] for r in quality_rules.quality_rules(odd).collect()] == [False, False]
 
 
 def test_isotonic():
