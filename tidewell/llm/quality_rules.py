@@ -387,7 +387,7 @@ def _with_bands(told: DataFrame, lower: float, upper: float) -> DataFrame:
     unsure = F.sqrt(1 + math.pi / 2 / F.greatest(F.col("_n"), F.lit(1)))
     bands = materialize(spreads.select("lang", "_mid", (wide * unsure).alias("_dev")), "rule-bands")
     out = join_checked(told, bands, ["lang"], "inner", 100_000)
-    one = F.greatest(F.col("_dev") * F.col("_scale"), F.lit(LEAST_DEVIATION))
+    one = F.when(F.col("_scale").isNotNull(), F.greatest(F.col("_dev") * F.col("_scale"), F.lit(LEAST_DEVIATION)))
     return out.withColumn("low", F.col("_mid") - lower * one).withColumn("high", F.col("_mid") + upper * one).drop("_mid", "_dev", "_scale")
 
 
@@ -401,7 +401,7 @@ def quality_rules(docs: DataFrame, lower: float = LOWER, upper: float = UPPER) -
     the bands. A null language is one of its own. A language with few documents leans on
     the model and the bands of all languages the more, the fewer it has; no number of
     documents is a limit. Where no document at all can be read by a model, there are no
-    bands, and the rules alone decide. Null and empty texts fail. Null ids stay null.
+    bands, and the rules alone decide. An empty text has no entropy and no band. Null and empty texts fail. Null ids stay null.
     Repeated rows each give a row; an empty table gives an empty result. Other columns are
     not read.
     """
