@@ -10,13 +10,18 @@ from tidewell.llm import knn_join, mixing
 
 
 def brute_top(rows, every, k):
-    good = {i: [math.floor(256 * c) for c in v] for i, v in rows if i is not None and v is not None and all(c is not None and math.isfinite(c) for c in v)}
-    out = set()
-    for q in good:
+    good = [(i, [math.floor(256 * c) for c in v]) for i, v in rows if i is not None and v is not None and all(c is not None and math.isfinite(c) for c in v)]
+    out = []
+    for at, (q, x) in enumerate(good):
         if q % every == 0:
-            scored = sorted((-sum(a * b for a, b in zip(good[q], v, strict=True)), i) for i, v in good.items() if i != q)
-            out |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(scored[:k])}
-    return out
+            scored = sorted((-sum(a * b for a, b in zip(x, v, strict=True)), i, n) for n, (i, v) in enumerate(good) if n != at)
+            out += [(q, r + 1, i, max(-(2**63), min(2**63 - 1, -s))) for r, (s, i, _) in enumerate(scored[:k])]
+    return sorted(out)
+
+
+def top(spark, rows, every=10, k=5, kind="float"):
+    df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>").selectExpr("*", "1 as score", "'x' as v", "2 as row")
+    return sorted(map(tuple, knn_join.top_k(df, every, k).collect()))
 
 
 @pytest.mark.parametrize("spread", [0.05, 1.0])
@@ -28,8 +33,48 @@ def test_top_k(spark, spread, monkeypatch):
     centres = g.normal(size=(6, 8))
     rows = [(i, (centres[i % 6] + spread * g.normal(size=8)).astype("float32").tolist()) for i in range(400)]
     rows += [(400, rows[0][1]), (401, rows[0][1]), (402, None), (403, [math.nan] * 8), (404, [math.inf] + [0.0] * 7), (405, [None] + [0.0] * 7), (None, rows[1][1]), (450, [0.0] * 8)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    assert set(map(tuple, knn_join.top_k(df, 10, 5).collect())) == brute_top(rows, 10, 5)
+    rows += [(400, rows[3][1]), (7, rows[7][1]), (7, rows[7][1]), (30, rows[30][1])] + [(500 + i, rows[0][1]) for i in range(9)]  # repeated ids, repeated rows, ties
+    assert top(spark, rows) == brute_top(rows, 10, 5)
+
+
+def test_large_components(spark):
+    g = np.random.default_rng(4)
+    rows = [(i, (g.normal(size=4) * 10.0 ** g.integers(0, 13)).tolist()) for i in range(120)] + [(200, [1e12, 1.0, 0.0, 0.0]), (201, [1e12, 1.0 + 1 / 256, 0.0, 0.0]), (210, [-1e12, 0.5, 0.0, 0.0])]
+    assert top(spark, rows, kind="double") == brute_top(rows, 10, 5)
+    rows = [(i, (g.normal(size=4) * 1e6).astype("float32").tolist()) for i in range(80)] + [(90, [3e38, 1.0, 2.0, 3.0])]
+    assert top(spark, rows) == brute_top(rows, 10, 5)
+
+
+def test_order_key():
+    numbers = [0, 1, -1, 9, -9, 10, -10, 2**63, -(2**70), 10**40, -(10**40), 123, -124, -123]
+    assert sorted(numbers) == sorted(numbers, key=knn_join.order_key)
+
+
+def test_cells_that_need_the_same_rows_share_a_copy():
+    """Rows dealt over rows stored: one copy where nothing is pruned; where clusters are apart, each row goes to its own."""
+    n = np.full(8, 1000.0)
+    copies = lambda reach, most: sum((np.isfinite(reach[cells].min(0)) * n).sum() for cells in knn_join.grouped(reach, np.full(8, 10.0), n, most)) / n.sum()
+    assert copies(np.zeros((8, 8)), 1000) == 1 and copies(np.zeros((8, 8)), 40) == 2
+    assert copies(np.where(np.eye(8) > 0, 0.0, np.inf), 1000) == 1
+    assert len(knn_join.grouped(np.where(np.eye(8) > 0, 0.0, np.inf), np.full(8, 10.0), n, 1000)) == 8
+
+
+def test_clusters_are_pruned(spark, monkeypatch):
+    g = np.random.default_rng(5)
+    centres = 30 * np.linalg.qr(g.normal(size=(8, 8)))[0]
+    rows = [(i, (centres[i % 8] + 0.01 * g.normal(size=8)).tolist()) for i in range(800)]
+    dealt, real = [], knn_join.grouped
+
+    def spy(reach, asked, held, most):
+        groups = real(reach, asked, held, most)
+        dealt.append(sum((np.isfinite(reach[cells].min(0)) * held).sum() for cells in groups) / held.sum())
+        return groups
+
+    monkeypatch.setattr(knn_join, "grouped", spy)
+    monkeypatch.setattr(knn_join, "QUERIES_A_CELL", 2)
+    monkeypatch.setattr(knn_join, "QUERIES_A_BLOCK", 12)
+    assert top(spark, rows, kind="double") == brute_top(rows, 10, 5)
+    assert dealt[0] <= 3
 
 
 def test_few_vectors(spark):
