@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import sentencepiece
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tests.llm.conftest import ODD_TEXTS, prose
@@ -71,6 +72,39 @@ def test_damage_is_noticed():
     raise AssertionError
 
 
+def test_only_misses_are_encoded(spark, rnd, tmp_path, monkeypatch):
+    """A hot content, texts without id and ids that repeat: each distinct content that the cache lacks is encoded once."""
+    encoded, real = [], token_counts._encode
+
+    def spy(path):
+        run, log = real(path), f"{tmp_path}/{len(encoded)}"
+        encoded.append(log)
+
+        def watched(batches):
+            def told(rows):
+                for batch in rows:
+                    with open(log, "a") as file:
+                        file.write("".join(f"{x}\n" for x in batch.column(0).to_pylist()))
+                    yield batch
+
+            yield from run(told(batches))
+
+        return watched
+
+    monkeypatch.setattr(token_counts, "_encode", spy)
+    first = [(i, "hot text") for i in range(50)] + [(None, f"no id {i}") for i in range(20)] + [(7, f"one id {i}") for i in range(20)]
+    more = first + [(i, "hot text") for i in range(50, 90)] + [(None, "no id new"), (7, "one id new"), (8, "one id new")]
+    for rows, fresh in ((first, 41), (more, 2), (more, 0)):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("digest", F.lit(1)).withColumn("n_tokens", F.lit("k"))
+        assert token_counts.count_tokens(docs, PIECES, f"file://{tmp_path}/cache").count() == len(rows)
+        try:
+            with open(encoded[-1]) as file:
+                lines = file.read().splitlines()
+        except FileNotFoundError:
+            lines = []
+        assert len(lines) == len(set(lines)) == fresh
+
+
 def test_counts_and_cache(spark, rnd, tmp_path):
     rows = [*rows_of(rnd), (None, "x y"), (7, "same"), (7, "same"), (8, "same"), (10**6, "word " * 5000)]
     sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
@@ -80,5 +114,6 @@ def test_counts_and_cache(spark, rnd, tmp_path):
         got = token_counts.count_tokens(docs, PIECES, f"file://{tmp_path}/cache").collect()
         assert sorted((repr(r[0]), *r[1:]) for r in got) == want
     stored = spark.read.parquet(f"file://{tmp_path}/cache")
+    assert stored.count() == len({t or "" for _, t in rows})
     assert stored.count() == stored.select("digest").distinct().count() == len({t or "" for _, t in rows})
     assert token_counts.count_tokens(docs.limit(0), PIECES, f"file://{tmp_path}/cache").collect() == []

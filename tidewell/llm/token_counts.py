@@ -16,7 +16,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import null_safe_key, scratch_path, table, text_slices
+from tidewell.llm.common import discard, join_checked, materialize, null_safe_key, scratch_path, table, text_batches, text_slices
 
 CACHE_SCHEMA = "version string, digest binary, n_tokens long"
 
@@ -70,16 +70,25 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: i
         stored = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("version") == version)
         return stored.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
 
+    def keys(name: str) -> list:
+        """What tells texts apart and spreads the rows of a hot id, of no id, and of a hot content."""
+        return [*null_safe_key(name), "digest"]
+
     spark.createDataFrame([], CACHE_SCHEMA).write.mode("append").parquet(cache_path)
-    known = cached().select("digest")
+    known = materialize(cached(), "counts-known")
     # One row stands for each distinct content that the cache lacks; a hot content is summed before the shuffle.
-    misses = keyed.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).join(known, "digest", "left_anti")
-    wanted = misses.select(*null_safe_key("doc_id")).distinct()
-    texts = docs.select(content.alias("_text"), *null_safe_key(id_col)).join(wanted.hint("shuffle_hash"), ["_key_null", "_key"], "left_semi")
-    fresh = texts.select("_text").mapInArrow(_encode(tokenizer_path), "digest binary, n_tokens long")
-    fresh = fresh.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    wanted = join_checked(materialize(keyed.groupBy("digest").agg(F.min("doc_id").alias("doc_id")), "counts-distinct"), known.select("digest"), ["digest"], "left_anti")
+    wanted = materialize(wanted.select(*keys("doc_id")), "counts-wanted")
+    texts = docs.select(content.alias("_text"), F.unhex(F.sha2(content, 256)).alias("digest"), *null_safe_key(id_col))
+    texts = join_checked(texts, wanted, ["_key_null", "_key", "digest"], "left_semi")
+    fresh = text_batches(texts.select("_text")).mapInArrow(_encode(tokenizer_path), "digest binary, n_tokens long")
+    # A repeated row may stand for its content twice.
+    fresh = materialize(fresh.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "counts-fresh")
     fresh.select(F.lit(version).alias("version"), "digest", "n_tokens").write.mode("append").parquet(cache_path)
-    counted = keyed.join(cached(), "digest")
+    every = materialize(known.unionByName(fresh), "counts-all")
+    # A join alone in its stage: a hot content's rows can be split among tasks.
+    counted = join_checked(keyed, every, ["digest"], "inner")
+    discard(known, wanted, fresh)
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
