@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import materialize, scratch_path, table
+from tidewell.llm.common import join_checked, materialize, null_safe_key, scratch_path, table
 
 MAGIC = "WARC/1.1\r\n"
 END = "\r\n\r\n"
@@ -62,8 +62,11 @@ def write_warc(pages: DataFrame, path: str, least_revisit: int = 0) -> None:
     groups = rows.where(F.col("n") >= least_revisit).groupBy("digest", "n").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("rows"))
     groups = groups.where((F.col("rows") > 1) & F.col("first").isNotNull()).select(F.col("digest").alias("_digest"), F.col("n").alias("_n"), "first")
     groups = materialize(groups, "warc-groups")  # its size is known then: Spark broadcasts it if small, else shuffles
-    rows = rows.join(groups, (F.col("digest") == F.col("_digest")) & (F.col("n") == F.col("_n")), "left")
-    revisit = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))
+    # Which rows revisit another is told by narrow rows; payloads meet only their own verdict, spread by page_id.
+    narrow = rows.where(F.col("n") >= least_revisit).select("page_id", "digest", "n").join(groups, (F.col("digest") == F.col("_digest")) & (F.col("n") == F.col("_n")))
+    verdicts = materialize(narrow.where(~F.col("first").eqNullSafe(F.col("page_id"))).select(*null_safe_key("page_id"), "digest", "n", "first").distinct(), "warc-revisits")
+    rows = join_checked(rows.select("*", *null_safe_key("page_id")), verdicts, ["_key_null", "_key", "digest", "n"], "left")
+    revisit = F.col("first").isNotNull()
     address = F.regexp_replace(F.col("url"), r"[\x00-\x20\x7F]", "")
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("n").cast("string"), F.lit(END))
     block = F.when(revisit, http).otherwise(F.concat(http, F.col("payload")))
@@ -234,11 +237,11 @@ def _joined(cut: DataFrame, pieces: DataFrame, splits: DataFrame, with_payload:
                 first = False
 
     again = pieces.mapInArrow(placed, "file string, split long, rel long, chunk binary").join(cut.select("file").distinct(), "file", "left_semi")
-    again = again.join(splits, ["file", "split"]).select("file", (F.col("base") + F.col("rel")).alias("at"), "chunk")
-    heads = cut.select("file", F.col("offset").alias("at"), F.col("offset").alias("head"), F.col("next").alias("until"))
-    in_file = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    held = again.join(heads, ["file", "at"], "left").select("file", "at", "chunk", F.last("head", True).over(in_file).alias("offset"), F.last("until", True).over(in_file).alias("until"))
-    held = held.where(F.col("at") < F.col("until")).groupBy("file", "offset").agg(F.array_sort(F.collect_list(F.struct("at", F.col("chunk").cast("string").alias("chunk")))).alias("parts"))
+    again = again.join(splits, ["file", "split"]).select("file", "split", (F.col("base") + F.col("rel")).alias("at"), "chunk")
+    # Pieces meet the records that reach into their split, so no task holds a whole file.
+    spans = cut.select("file", "offset", F.col("next").alias("until")).join(splits, "file").where((F.col("base") < F.col("until")) & (F.col("base") + F.col("total") > F.col("offset")))
+    again = again.join(spans.select("file", "split", "offset", "until"), ["file", "split"]).where((F.col("at") >= F.col("offset")) & (F.col("at") < F.col("until")))
+    held = again.groupBy("file", "offset").agg(F.array_sort(F.collect_list(F.struct("at", F.col("chunk").cast("string").alias("chunk")))).alias("parts"))
     text = F.array_join(F.transform("parts", lambda x: x["chunk"]), MAGIC)
     joined = cut.join(held.select("file", "offset", text.cast("binary").alias("whole")), ["file", "offset"])
     joined = joined.select("file", "offset", *HEAD, F.expr("substring(whole, cast(body_at + 1 as int), cast(body_bytes as int))").alias("block"))
