@@ -1,6 +1,7 @@
 import hashlib
 import math
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -200,10 +201,39 @@ def test_held_out_quality(spark):
     assert len(got) > 50 and sum(r["predicted"] == r["quality"] for r in got) >= 0.95 * len(got)
 
 
+def test_scores_against_one_process(spark, rnd):
+    """The whole query by numpy: statistics, ridge on three folds, calibration on one, scores of all."""
+    junk = lambda: " ".join(rnd.choice(["| x", "###", "buy now", "aaa bbb", "12 34"]) for _ in range(40))
+    rows = [(i, prose(rnd, rnd.randrange(20, 90)) if i % 3 else junk(), int(i % 3 > 0)) for i in range(240)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    got = {r["doc_id"]: r for r in quality_classifier.quality_scores(df.select("doc_id", "text"), df.select("doc_id", "quality")).collect()}
+    fold = np.array([zlib.crc32(str(i).encode()) % 5 for i, _, _ in rows])
+    x, y = np.array([quality_classifier.statistics(t) for _, t, _ in rows]), np.array([q for _, _, q in rows], float)
+    fitted = fold > 1
+    scale = x[fitted].std(0)
+    model = quality_classifier.FourierRidge(x[fitted].mean(0), np.where(scale > 1e-9, scale, 1.0), quality_classifier.N_FEATURES, quality_classifier.WIDTH, quality_classifier.SEED)
+    z = model.features(x[fitted])
+    size = z.shape[1]
+    ridge = quality_classifier.PENALTY * fitted.sum() * np.eye(size) / size
+    ridge[0, 0] = 0
+    model.weights = np.linalg.solve(z.T @ z + ridge + 1e-9 * np.eye(size), z.T @ y[fitted])
+    raw = np.round(model.predict(x), 6)
+    bins = defaultdict(lambda: [0, 0])
+    for r, one in zip(raw[fold == 1], y[fold == 1], strict=True):
+        at = round((min(max(r, -0.5), 1.5) + 0.5) / 0.004)
+        bins[at][0] += 1
+        bins[at][1] += int(one)
+    knots = isotonic.fit(sorted((-0.5 + at * 0.004, n, ones) for at, (n, ones) in bins.items()))
+    want = np.interp(raw, *knots)
+    close = [abs(got[i]["score"] - w) < 1e-3 for (i, _, _), w in zip(rows, want, strict=True)]
+    assert sum(close) >= 0.98 * len(rows)  # sums in another order may move a row over a bin's edge
+    assert all(got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) for i, _, _ in rows)
+
+
 def test_odd_texts_are_scored(spark):
-    docs = spark.createDataFrame([(i, t) for i, t in enumerate(ODD_TEXTS)] + [(None, "x"), (1, ""), (1, "")], "doc_id long, text string")
-    labels = spark.createDataFrame([(3, 1), (4, 0), (5, None), (6, 7)], "doc_id long, quality int")
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(ODD_TEXTS)] + [(None, "x"), (1, ""), (1, "word " * 200_000)], "doc_id long, text string").withColumn("x", F.lit(1)).withColumn("raw", F.lit("k"))
+    labels = spark.createDataFrame([(3, 1), (4, 0), (5, None), (6, 7), (None, 1)], "doc_id long, quality int").withColumn("y", F.lit("clash"))
     for some in (labels, labels.limit(0)):
         got = quality_classifier.quality_scores(docs, some).collect()
-        assert len(got) == len(ODD_TEXTS) + 3 and all(0 <= r["score"] <= 1 for r in got)
+        assert len(got) == len(ODD_TEXTS) + 3 and all(0 <= r["score"] <= 1 and r["held_out"] is not None for r in got)
     assert quality_classifier.quality_scores(docs.limit(0), labels).collect() == []

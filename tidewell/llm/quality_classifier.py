@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.llm import isotonic
-from tidewell.llm.common import materialize, table, text_slices
+from tidewell.llm.common import discard, materialize, table, text_batches, text_slices
 
 #: Random features, width of the kernel over standardised statistics, ridge penalty a labelled row.
 N_FEATURES, WIDTH, PENALTY = 192, 2.5, 1e-3
@@ -58,7 +58,7 @@ def document_statistics(docs: DataFrame) -> DataFrame:
         for part, texts in text_slices(batches, 1):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([statistics(t) for t in texts], pa.list_(pa.float64()))], ["doc_id", "x"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, x array<double>")
+    return text_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))).mapInArrow(run, "doc_id long, x array<double>")
 
 
 class FourierRidge:
@@ -114,23 +114,25 @@ def fit(rows: DataFrame, n_features: int = N_FEATURES, width: float = WIDTH, pen
     return model
 
 
-def predict(rows: DataFrame, model: FourierRidge) -> DataFrame:
-    """Rows (doc_id, raw) of rows (doc_id, x)."""
+def predict(rows: DataFrame, model: FourierRidge, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (doc_id, raw, keep) of rows (doc_id, x, keep)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.round(model.predict(_matrix(part.column(1))), 6))], ["doc_id", "raw"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.round(model.predict(_matrix(part.column(1))), 6)), *part.columns[2:]], ["doc_id", "raw", *keep])
 
-    return rows.select("doc_id", "x").mapInArrow(run, "doc_id long, raw double")
+    schema = ", ".join(["doc_id long", "raw double", *(f"{n} {t}" for n, t in rows.select(*keep).dtypes)])
+    return rows.select("doc_id", "x", *keep).mapInArrow(run, schema)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, folds: int = 5, held_fold: int = 0) -> DataFrame:
     """Rows (doc_id, held_out, score) of docs (doc_id, text); labels has doc_id and quality, 0 or 1.
 
     Rows whose crc32(doc_id as text) modulo folds is held_fold teach nothing, nor do
-    labels that are null or neither 0 nor 1. Null and empty texts have statistics of
+    labels that are null or neither 0 nor 1, nor rows without id, which aren't held out.
+    The ridge is fitted on the other folds but one, and the calibration on that one. Null and empty texts have statistics of
     zeros and are scored like others. Repeated rows each give a row. Without labels
     every score is one half; an empty table gives an empty result. Only the text is
     an input of a score.
@@ -138,11 +140,14 @@ def quality_scores(docs: DataFrame, labels: DataFrame, folds: int = 5, held_fold
     fold = F.crc32(F.col("doc_id").cast("string")) % folds
     rows = materialize(document_statistics(docs), "quality-statistics")
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("y")).where(F.col("y").isin(0.0, 1.0) & (fold != held_fold))
-    taught = materialize(rows.join(marked.dropDuplicates(["doc_id"]), "doc_id"), "quality-taught")
-    model = fit(taught)
-    knots = isotonic.fit(isotonic.binned(predict(taught, model).join(marked.dropDuplicates(["doc_id"]), "doc_id"), "raw", "y", -0.5, 1.5, 500))
+    taught = materialize(rows.join(marked.dropDuplicates(["doc_id"]), "doc_id").withColumn("fold", fold), "quality-taught")
+    kept_back = (held_fold + 1) % folds
+    model = fit(taught.where(F.col("fold") != kept_back))
+    told = predict(taught.where(F.col("fold") == kept_back), model, ("y",))
+    knots = isotonic.fit(isotonic.binned(told, "raw", "y", -0.5, 1.5, 500))
+    discard(taught)
     score = F.round(isotonic.apply(F.col("raw"), knots), 6)
-    return predict(rows, model).select("doc_id", (fold == held_fold).alias("held_out"), score.alias("score"))
+    return predict(rows, model).select("doc_id", F.coalesce(fold == held_fold, F.lit(False)).alias("held_out"), score.alias("score"))
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
