@@ -35,7 +35,7 @@ from tidewell.llm.common import discard, join_checked, materialize, null_safe_ke
 #: Minwise tokens of a class.
 TOKENS = 64
 #: Tokens that name a tree's first nodes, branches of a member at a node that is split, and levels of nodes.
-ROOT, BRANCHES, MOST_DEPTH = 2, 2, 12
+ROOT, BRANCHES, MOST_DEPTH = 2, 2, 5
 #: A node is compared exhaustively if no more members lie outside its largest component.
 FEW = 32
 #: Members of a node by which its members' mean agreement is measured.
@@ -346,14 +346,13 @@ def _with_nodes(rows: DataFrame, comps: DataFrame | None) -> DataFrame:
     """
     own = F.xxhash64("digest")
     rows = rows.withColumn("comp", own) if comps is None else join_checked(rows, comps, ["digest"], "left", FEW_ROWS).withColumn("comp", F.coalesce("comp", own))
-    rows = materialize(rows, "tree-labelled")
     counts = rows.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("n"))
     nodes = counts.groupBy("node").agg(F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("top"))
     nodes = nodes.select("node", "n", F.col("top.comp").alias("major"), (F.col("n") - F.col("top.n")).alias("outside")).where(F.col("outside") > 0)
     nodes = materialize(nodes, "tree-nodes")
     # A join alone in its stage, so that a node with a large part of all rows can be split among tasks.
     met = materialize(join_checked(rows, nodes, ["node"], "inner", FEW_ROWS), "tree-met")
-    discard(rows, nodes)
+    discard(nodes)
     return met
 
 
@@ -441,7 +440,8 @@ def chosen_path_links(docs: DataFrame, classes: DataFrame, percent: int, n_words
         found = _verified(docs, classes, pairs.distinct(), percent, n_words, "tree")
         if not found.isEmpty():
             links.append(found)
-            comps = _components(links)
+            if depth < 2:  # links only settle pairs, and most are found by then
+                comps = _components(links)
         discard(rows, met)
         if not crowded:
             break
