@@ -21,10 +21,15 @@ def entries(spark, rows):
 
 
 def test_hour_means(spark):
-    rows = [("1961-01-02T11:00", 3.0), ("1961-01-02T11:02", 2.0), ("1961-01-02T11:04", 4.0), ("1961-01-02T12:02", 5.0), ("1961-01-02T12:04", 7.0), ("1961-01-02T12:02", 5.0), ("1961-01-02T12:04", 7.0), ("1971-01-02T12:02", 5.0), ("1971-01-02T12:04", 7.0)]
-    random.Random(1).shuffle(rows)
-    got = run(entries(spark, [(ms(t), v) for t, v in rows]), Statement.parse("1961-01-02", "hour", "mean", "1000")).collect()
-    assert [tuple(r) for r in got] == [(ms("1961-01-02T11:00"), 3.0), (ms("1961-01-02T12:00"), 6.0), (ms("1971-01-02T12:00"), 6.0)]
+    rnd = random.Random(1)
+    rows = [(ms("1957-06-03T00:00") + rnd.randrange(40 * 3_600_000), rnd.randrange(-50, 50) / 4) for _ in range(300)]
+    start = ms("1957-06-03T05:00")
+    want = {}
+    for t, v in rows:
+        if t >= start:
+            want.setdefault(t - t % 3_600_000, []).append(v)
+    got = run(entries(spark, rows), Statement.parse(str(start), "hour", "mean", "1000")).collect()
+    assert [tuple(r) for r in got] == [(t, pytest.approx(sum(v) / len(v))) for t, v in sorted(want.items())]
 
 
 def test_buckets_floor_over_all_of_64_bits(spark):

@@ -25,7 +25,7 @@ def call(spark, tmp_path_factory):
 
 
 def test_series(call):
-    body = json.dumps({"entries": [{"ts": t, "value": v} for t, v in ((21, 81), (23, 84), (26, 90.5))]})
+    body = json.dumps({"entries": [{"ts": t, "value": v} for t, v in ((1000, 7), (1600, 9.25), (2500, -3))]})
     query = "/series/t?from=1970-01-01&group_by=hour&aggregators=mean,max&limit=10"
     assert call("POST", "/series/t", body)[0] == 404
     assert call("GET", query)[0] == 404
@@ -36,8 +36,8 @@ def test_series(call):
         status, text = call("POST", "/series/t", bad)
         assert status == 400 and json.loads(text) == {"code": 400, "message": "invalid json body"}
     status, text = call("GET", query)
-    assert json.loads(text) == {"rows": [{"timestamp": "1970-01-01T00:00:00+00:00", "values": [{"Mean": (81 + 84 + 90.5) / 3}, {"Max": 90.5}]}]}
-    assert call("GET", query.replace("hour", "milli"))[0] == 400
+    assert json.loads(text) == {"rows": [{"timestamp": "1970-01-01T00:00:00+00:00", "values": [{"Mean": (7 + 9.25 - 3) / 3}, {"Max": 9.25}]}]}
+    assert call("GET", query.replace("hour", "week"))[0] == 400
     assert call("GET", "/series/t?from=0&group_by=day&aggregators=mean")[0] == 400
     assert call("GET", "/series/none?from=x")[0] == 404
     assert call("GET", "/elsewhere")[0] == 404
@@ -46,9 +46,18 @@ def test_series(call):
 
 def test_export_and_restore(call):
     assert call("GET", "/series/none/export")[0] == 404
-    assert call("POST", "/series/r/restore", "1; 1.2\n2; 3.1\n")[0] == 200
-    assert call("GET", "/series/r/export") == (200, "1; 1.20\n2; 3.10\n")
-    status, text = call("POST", "/series/r/restore", "1; 1.2\n")
+    assert call("POST", "/series/r/restore", "40; 0.75\n95; 6\n")[0] == 200
+    assert call("GET", "/series/r/export") == (200, "40; 0.75\n95; 6.00\n")
+    status, text = call("POST", "/series/r/restore", "40; 0.75\n")
     assert status == 409 and json.loads(text)["code"] == 409
-    assert call("POST", "/series/s/restore", "1xx\n")[0] == 400
+    assert call("POST", "/series/s/restore", "no line\n")[0] == 400
     assert call("GET", "/series/s/export")[0] == 404
+
+
+def test_bodies_in_chunks(call):
+    blocks = lambda: iter([b"100; 1\n20", b"0; 2.5\n", b"300; 4\n"])
+    assert call("POST", "/series/chunked/restore", blocks())[0] == 200
+    assert call("GET", "/series/chunked/export") == (200, "100; 1.00\n200; 2.50\n300; 4.00\n")
+    assert call("PUT", "/series/more")[0] == 201
+    assert call("POST", "/series/more", iter([b'{"entries":[{"ts":5,', b'"value":2}]}']))[0] == 200
+    assert call("GET", "/series/more/export") == (200, "5; 2.00\n")

@@ -5,7 +5,8 @@ import pytest
 from tidewell.errors import BadRequest, Conflict, CorruptCommit, SeriesNotFound
 from tidewell.operators import run
 from tidewell.plans import Statement
-from tidewell.sources import SeriesCatalog, catalog as catalog_module
+from tidewell.sources import SeriesCatalog
+from tidewell.sources import catalog as catalog_module
 from tidewell.sources.catalog import Transaction, limit_bound
 
 
@@ -173,3 +174,9 @@ def test_limits_cut_the_scan(spark, catalog):
         assert reader.query(statement).collect() == run(reader.scan(), statement).collect()
     assert limit_bound(reader.snapshot(), Statement.of(from_ts=0, group_by_ms=60_000, limit=2)) <= 1_060_000
     assert limit_bound(reader.snapshot(), Statement.of(from_ts=0, group_by_ms=60_000, limit=500)) is None
+
+
+def test_batch_numbers_of_long_transactions():
+    """Equal times keep the order of their arrival, however many appends a transaction has."""
+    numbers = [(version << catalog_module.APPEND_BITS) + place for version in range(3) for place in (0, 999, 1000, 1500, 2**31 - 1)]
+    assert numbers == sorted(set(numbers)) and numbers[-1] < 2**63

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,9 +12,11 @@ _own: dict[str, str] = {}
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path under spark.checkpoint.dir; a folder of this machine only where that isn't set, as in local tests."""
+    """A new path under spark.checkpoint.dir; a folder of this machine only where that isn't set and driver and executors are one process."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         if app not in _own:
             _own[app] = "file://" + tempfile.mkdtemp(prefix="spark-tidewell-")
@@ -25,4 +28,6 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df once and read it back: lineage ends there, and later plans see the same rows."""
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._tidewell_path = path  # type: ignore[attr-defined]
+    return out

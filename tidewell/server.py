@@ -14,6 +14,7 @@ from __future__ import annotations
 import argparse
 import json
 import uuid
+from collections.abc import Iterator
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import parse_qs, unquote, urlsplit
 
@@ -27,6 +28,8 @@ from tidewell.scratch import scratch_path
 from tidewell.sources.storage import Folder
 from tidewell.sources.textio import export_lines, restore
 
+#: Bytes of a request that are held at once; a body of lines goes to the shared folder.
+BLOCK_BYTES = 1 << 20
 #: Messages that clients see.
 MESSAGES = {404: "Not found", 400: "Bad request", 409: "Conflict", 500: "Internal error"}
 
@@ -74,8 +77,30 @@ class Handler(BaseHTTPRequestHandler):
         except Exception:
             self._answer(500, json.dumps({"code": 500, "message": MESSAGES[500]}).encode(), "application/json")
 
-    def _body(self) -> bytes:
-        return self.rfile.read(int(self.headers.get("Content-Length") or 0))
+    def _blocks(self) -> Iterator[bytes]:
+        """The body in blocks of bounded size, with a Content-Length or in chunks."""
+        if "chunked" in (self.headers.get("Transfer-Encoding") or "").lower():
+            while size := self._chunk_size():
+                yield from self._read(size)
+                self.rfile.readline()
+            while self.rfile.readline().strip():
+                pass  # trailers
+        else:
+            yield from self._read(int(self.headers.get("Content-Length") or 0))
+
+    def _chunk_size(self) -> int:
+        try:
+            return int(self.rfile.readline(1 << 10).split(b";")[0], 16)
+        except ValueError:
+            raise BadRequest("malformed chunk") from None
+
+    def _read(self, n: int) -> Iterator[bytes]:
+        while n:
+            block = self.rfile.read(min(n, BLOCK_BYTES))
+            if not block:
+                raise BadRequest("the body was cut short")
+            n -= len(block)
+            yield block
 
     def do_PUT(self) -> None:
         self._handled(self._create)
@@ -93,25 +118,25 @@ class Handler(BaseHTTPRequestHandler):
         self._answer(201, b"", "text/plain")
 
     def _post(self, name: str, action: str, query: dict[str, str]) -> None:
-        body = self._body()
+        blocks = self._blocks()
         if action == "restore":
-            self._restore(name, body)
+            self._restore(name, blocks)
         elif action:
             raise SeriesNotFound(action)
         else:
             writer = self.catalog.writer(name)
-            rows = [(t, v, i) for i, (t, v) in enumerate(_entries(body))]
+            rows = [(t, v, i) for i, (t, v) in enumerate(_entries(b"".join(blocks)))]
             writer.append(self.catalog.spark.createDataFrame(rows, "ts long, value double, seq long"))
         self._answer(200, b"", "text/plain")
 
-    def _restore(self, name: str, body: bytes) -> None:
+    def _restore(self, name: str, blocks: Iterator[bytes]) -> None:
         if self.catalog.exists(name):
             raise Conflict(name)
         folder = Folder(self.catalog.spark, scratch_path(self.catalog.spark, "restore"))
         folder.make()
         try:
             file = f"{uuid.uuid4().hex}.txt"
-            folder.create(file, body)
+            folder.create_from(file, blocks)
             restore(self.catalog, name, f"{folder.path}/{file}")
         finally:
             folder.delete("")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import SparkSession
 
 
@@ -36,15 +38,25 @@ class Folder:
         finally:
             stream.close()
 
-    def create(self, name: str, data: bytes) -> bool:
+    def create(self, name: str, *blocks: bytes) -> bool:
         """Write a new file; False if it exists already, whoever made it."""
+        return self.create_from(name, blocks)
+
+    def create_from(self, name: str, blocks: Iterable[bytes]) -> bool:
+        """create() of blocks as they come; no more than one is held. If they raise, no file stays."""
         try:
             stream = self._fs.create(self._at(name), False)
         except Exception as e:
             if self.exists(name):
                 return False
             raise OSError(f"{name} can't be written") from e
-        stream.write(bytearray(data))
+        try:
+            for block in blocks:
+                stream.write(bytearray(block))
+        except BaseException:
+            stream.close()
+            self.delete(name)
+            raise
         stream.close()
         return True
 
