@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,43 +9,19 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewell.scratch import materialize, scratch_path
+
+__all__ = ["materialize", "scratch_path"]
+
 #: A word is a run of anything but ASCII white space, in Java's regex syntax.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_own_base: dict[str, str] = {}
-
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
 
 
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that driver and executors share.
-
-    That is spark.checkpoint.dir; a folder of this machine is taken only
-    where the setting is missing and driver and executors are one process.
-    """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        app = spark.sparkContext.applicationId
-        if app not in _own_base:
-            _own_base[app] = "file://" + tempfile.mkdtemp(prefix="spark-tidewell-")
-        base = _own_base[app]
-    return f"{base.rstrip('/')}/tidewell/{label}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df once to a scratch table and read it back: lineage ends there."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._tidewell_path = path  # type: ignore[attr-defined]
-    return out
-
-
 def discard(*frames: DataFrame) -> None:
     """Delete scratch tables that no later plan reads."""
     for df in frames:
