@@ -2,6 +2,12 @@
 
 Every stage takes what its predecessor kept. All but the last return the columns
 of documents; the last returns token ids and the text decoded from them.
+
+In every stage an empty table gives an empty one, other columns are carried along
+whatever their names, and repeated rows are rows of their own: where ids are null or
+repeat, rows are numbered, so a decision about one row never takes another with it.
+Null texts count as empty: not toxic, rejected by the rules. Null languages and sources
+are a language and a source of their own.
 """
 
 from __future__ import annotations
