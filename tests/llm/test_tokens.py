@@ -35,6 +35,25 @@ def test_pieces_equal_the_library(spark, rnd):
     assert piece_bpe.round_trip_digests(docs.limit(0), PIECES).collect() == []
 
 
+def test_long_texts_and_clashing_names(spark, rnd, tmp_path):
+    """A text beyond LONG_TEXT is cut into words in pieces; long words aren't remembered."""
+    long = prose(rnd, 4000) * 60 + " " + "y" * 20_000
+    assert len(long) > piece_bpe.LONG_TEXT
+    rows = [(1, long), (2, "short"), (3, long[:-5]), (None, "short " + "z" * 500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for name in ("ids", "n_tokens", "part", "digest", "_key", "start", "shard", "n_bytes"):
+        docs = docs.withColumn(name, F.lit("clash"))
+    sp, tokenizer = sentencepiece.SentencePieceProcessor(model_file=PIECES), Tokenizer.from_file(WORDS)
+    for r in piece_bpe.round_trip_digests(docs, PIECES, with_ids=True).collect():
+        text = dict(rows)[r["doc_id"]]
+        ids = sp.encode(text)
+        assert r["ids"] == ids and r["decoded_sha256"] == hashlib.sha256(sp.decode(ids).encode()).hexdigest()
+    assert {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(docs, PIECES, f"file://{tmp_path}/cache").collect()} == {i: len(sp.encode(t)) for i, t in rows}
+    token_tables.write_shards(docs, f"file://{tmp_path}/t", WORDS)
+    got = token_tables.with_starts(token_tables.read_shards(spark, f"file://{tmp_path}/t")).collect()
+    assert {r["doc_id"]: r["ids"][:-1] for r in got} == {i: tokenizer.encode(t, add_special_tokens=False).ids for i, t in rows}
+
+
 def test_tables_round_trip(spark, rnd, tmp_path):
     rows = [*rows_of(rnd), (None, "no id"), (5, "twice"), (5, "twice")]
     path = f"file://{tmp_path}/t"

@@ -12,7 +12,7 @@ def fake(body):
 
 
 def trip(spark, rows, path, split=None, least=0):
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as digest", "'k' as payload", "2 as n", "3 as _key", "4 as first")
     write_warc(pages.coalesce(1), path, least)
     spark.conf.set("spark.sql.files.maxPartitionBytes", split or "128m")
     try:
@@ -47,6 +47,13 @@ def test_chains_over_many_splits(spark, tmp_path):
     assert order(trip(spark, rows, str(tmp_path / "w"), "700b")) == order(want(rows))
 
 
+def test_very_long_payloads(spark, tmp_path):
+    """Records over many splits, with magic inside; and many empty pages."""
+    long = ("lorem " * 3000 + MAGIC) * 40
+    rows = [(1, "u", long), (2, "u", "between"), (3, "u", long), (4, "u", long + "x"), *[(i, "u", None) for i in range(10, 40)]]
+    assert order(trip(spark, rows, str(tmp_path / "w"), "200000b")) == order(want(rows))
+
+
 def test_small_payloads_are_never_revisits(spark, tmp_path):
     rows = [(1, "u", "abc"), (2, "u", "abc"), (3, "u", "abcdef"), (4, "u", "abcdef")]
     assert order(trip(spark, rows, str(tmp_path / "w"), least=5)) == order(want(rows, 5))

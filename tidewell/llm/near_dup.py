@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import discard, join_checked, materialize, null_safe_key, table, text_slices
+from tidewell.llm.common import discard, join_checked, materialize, null_safe_key, table, text_batches, text_slices
 
 #: Minwise tokens of a class.
 TOKENS = 64
@@ -202,7 +202,7 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: in
     ends = pairs.select(F.col("a").alias("digest")).unionByName(pairs.select(F.col("b").alias("digest"))).distinct()
     wanted = materialize(ends.join(sized, "digest").select(*null_safe_key("first_id")).distinct(), f"{label}-wanted")
     texts = join_checked(docs.select("text", *null_safe_key("doc_id")), wanted, ["_key_null", "_key"], "left_semi")
-    sets = materialize(texts.select("text").mapInArrow(_sets(n_words), "digest binary, shingles binary"), f"{label}-sets")
+    sets = materialize(text_batches(texts.select("text")).mapInArrow(_sets(n_words), "digest binary, shingles binary"), f"{label}-sets")
     left = sets.select(F.col("digest").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("digest").alias("b"), F.col("shingles").alias("y"))
     n, m = F.octet_length("x"), F.octet_length("y")
@@ -316,7 +316,7 @@ def _block_links(docs: DataFrame, classes: DataFrame, rows: DataFrame, size: int
     wanted = places.join(classes.select("digest", "first_id"), "digest")
     wanted = materialize(wanted.select(*null_safe_key("first_id"), "digest", "places"), "near-wanted")
     texts = join_checked(docs.select("text", *null_safe_key("doc_id")), wanted, ["_key_null", "_key"], "inner", few)
-    sets = texts.select("text", "digest", "places").mapInArrow(_clustered_sets(n_words), "shingles binary, digest binary, places array<struct<part: long, own: int, met: int>>")
+    sets = text_batches(texts.select("text", "digest", "places")).mapInArrow(_clustered_sets(n_words), "shingles binary, digest binary, places array<struct<part: long, own: int, met: int>>")
     placed = sets.select("shingles", "digest", F.explode("places").alias("place")).select("shingles", "digest", "place.*")
     dealt = placed.select("shingles", "digest", "part", "own", F.explode(F.sequence(F.lit(0), F.col("met") - 1)).alias("other"))
     dealt = dealt.select("shingles", "digest", "part", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
@@ -474,7 +474,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, n_words: int = 5, id_col
     result. Only the two columns named are read, so other columns never clash.
     """
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    marks = materialize(slim.mapInArrow(_marks(n_words), "doc_id long, n_shingles long, digest binary, tokens array<int>, " + ", ".join(f"{c} long" for c in SKETCH)), "near-marks")
+    marks = materialize(text_batches(slim).mapInArrow(_marks(n_words), "doc_id long, n_shingles long, digest binary, tokens array<int>, " + ", ".join(f"{c} long" for c in SKETCH)), "near-marks")
     firsts = [F.any_value(c).alias(c) for c in ("n_shingles", "tokens", *SKETCH)]
     classes = materialize(marks.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("first_id"), *firsts), "near-classes")
     links = chosen_path_links(slim, classes, percent, n_words, trees_for(percent))

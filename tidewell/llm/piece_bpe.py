@@ -21,13 +21,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
-from tidewell.llm.common import table, text_slices
+from tidewell.llm.common import table, text_batches, text_slices
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 NO_PAIR = np.int32(2**31 - 1)
-#: Words that a worker remembers; the table is emptied when it is full.
-REMEMBERED = 300_000
+#: Words that a worker remembers, and the longest of them; the table is emptied when it is full.
+REMEMBERED, LONGEST_KEPT = 150_000, 48
 #: A longer text is cut into words in pieces, so that the list of its words stays small.
 LONG_TEXT, PIECE_WORDS = 1 << 20, 1 << 16
 
@@ -90,6 +90,7 @@ class PieceBpe:
         self.piece_starts = np.cumsum(self.piece_lengths) - self.piece_lengths
         self.decimals = [str(i).encode() for i in range(len(pieces))]
         self.known: dict[str, bytes] = {}
+        self.passing: list[str] = []  # long words, known for one slice
 
     def words(self, text: str) -> Iterator[list[str]]:
         """The words of a text with the spaces before them, line ends apart, in lists of bounded length."""
@@ -234,6 +235,7 @@ class PieceBpe:
         if len(known) > REMEMBERED:
             known.clear()
         fresh = [w for w in dict.fromkeys(words) if w not in known]
+        self.passing += [w for w in fresh if len(w) > LONGEST_KEPT]
         for at in range(0, len(fresh), PIECE_WORDS):
             new = fresh[at : at + PIECE_WORDS]
             known.update(zip(new, self.encode_words(new), strict=True))
@@ -254,6 +256,9 @@ class PieceBpe:
                 raw = b"".join(parts)
                 self._learn(itertools.chain.from_iterable(x for x in split if x))
             found.append(np.frombuffer(raw, "<i4"))
+        for w in self.passing:
+            known.pop(w, None)
+        self.passing.clear()
         return found
 
     def decode(self, ids: np.ndarray) -> str:
@@ -300,7 +305,7 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
         for part, texts in text_slices(batches, 1):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(bpe.encode(texts), pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    return text_batches(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decode_documents(encoded: DataFrame, model_path: str) -> DataFrame:
@@ -342,7 +347,7 @@ def round_trip_digests(docs: DataFrame, model_path: str, with_ids: bool = False)
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return text_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))).mapInArrow(run, schema)
 
 
 def op5_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

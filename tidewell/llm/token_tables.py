@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidewell.llm.common import materialize, scratch_path, table, text_slices
+from tidewell.llm.common import materialize, scratch_path, table, text_batches, text_slices
 
 MAGIC = b"tw-sst-1"
 #: Index offset and length, Bloom offset and length, documents, ids, bytes an id, shard number, magic.
@@ -45,8 +45,8 @@ BLOCK_BYTES = 1 << 16
 #: Text that one shard takes, about; a longer document makes a larger shard.
 SHARD_TEXT_BYTES = 12 << 20
 BITS_A_KEY = 10
-#: Words that a worker remembers.
-REMEMBERED = 500_000
+#: Words that a worker remembers, and the longest of them.
+REMEMBERED, LONGEST_KEPT = 250_000, 48
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -250,8 +250,13 @@ class WordCache:
             self.known = {"": b""}
         known = self.known
         split = [self._split(t) for t in texts]
-        self._learn(list(set().union(*split).difference(known)))
-        return [np.frombuffer(b"".join(map(known.__getitem__, run)), self.kind) for run in split]
+        fresh = list(set().union(*split).difference(known))
+        self._learn(fresh)
+        found = [np.frombuffer(b"".join(map(known.__getitem__, run)), self.kind) for run in split]
+        for run in fresh:
+            if len(run) > LONGEST_KEPT:
+                del known[run]
+        return found
 
 
 _caches: dict[str, WordCache] = {}
@@ -288,7 +293,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
             yield pa.RecordBatch.from_arrays([pa.array(list(writer.finish()), pa.binary())], ["part"])
 
     # The text writer puts a string's bytes into the file as they are, and the separator after them.
-    dealt.mapInArrow(run, "part binary").select(F.col("part").cast("string")).write.option("lineSep", "\n").text(path)
+    text_batches(dealt).mapInArrow(run, "part binary").select(F.col("part").cast("string")).write.option("lineSep", "\n").text(path)
 
 
 def read_shards(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:

@@ -200,7 +200,7 @@ def _stem_counts(docs: DataFrame, only: set[str] | None = None, of_words: bool =
                 yield out()
         yield out()
 
-    counts = docs.select("text").mapInArrow(run, "stem string, word string, n long")
+    counts = text_batches(docs.select("text")).mapInArrow(run, "stem string, word string, n long")
     return counts.groupBy("stem", "word").agg(F.sum("n").alias("n"))
 
 
