@@ -12,9 +12,10 @@ Run it as `python -m tidewell.server -p PATH server -a HOST:PORT`.
 from __future__ import annotations
 
 import argparse
+import itertools
 import json
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import parse_qs, unquote, urlsplit
 
@@ -48,6 +49,11 @@ def _entries(body: bytes) -> list[tuple[int, float]]:
     raise BadRequest("invalid json body")
 
 
+def _separated(rows: Iterable[str]) -> Iterator[str]:
+    for i, row in enumerate(rows):
+        yield f",{row}" if i else row
+
+
 class Handler(BaseHTTPRequestHandler):
     catalog: SeriesCatalog
 
@@ -149,16 +155,21 @@ class Handler(BaseHTTPRequestHandler):
             raise SeriesNotFound(action)
         else:
             statement = Statement.parse(*[query.get(k) for k in ("from", "group_by", "aggregators", "limit")])
-            rows = [r["json"] for r in json_document(reader.query(statement), statement).toLocalIterator()]
-            self._answer(200, f'{{"rows":[{",".join(rows)}]}}'.encode(), "application/json")
+            rows = json_document(reader.query(statement), statement).toLocalIterator()
+            self._send("application/json", itertools.chain(['{"rows":['], _separated(r["json"] for r in rows), ["]}"]))
 
     def _export(self, lines) -> None:
-        rows = lines.toLocalIterator()  # a partition at a time
+        self._send("text/csv", (f"{r['line']}\n" for r in lines.toLocalIterator()))
+
+    def _send(self, kind: str, parts: Iterable[str]) -> None:
+        """A body of any size, a partition of the result at a time; the connection's end ends it. A query that fails at once is answered as an error."""
+        parts = iter(parts)
+        head = list(itertools.islice(parts, 2))
         self.send_response(200)
-        self.send_header("Content-Type", "text/csv")
-        self.end_headers()  # the connection's end ends the body
-        for row in rows:
-            self.wfile.write(f"{row['line']}\n".encode())
+        self.send_header("Content-Type", kind)
+        self.end_headers()
+        for part in itertools.chain(head, parts):
+            self.wfile.write(part.encode())
 
 
 def make_server(spark: SparkSession, path: str, host: str = "127.0.0.1", port: int = 8080) -> ThreadingHTTPServer:
