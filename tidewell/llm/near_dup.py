@@ -35,7 +35,7 @@ from tidewell.llm.common import discard, join_checked, materialize, null_safe_ke
 #: Minwise tokens of a class.
 TOKENS = 64
 #: Tokens that name a tree's first nodes, branches of a member at a node that is split, and levels of nodes.
-ROOT, BRANCHES, MOST_DEPTH = 2, 2, 5
+ROOT, BRANCHES, MOST_DEPTH = 2, 2, 4
 #: A node is compared exhaustively if no more members lie outside its largest component.
 FEW = 32
 #: Members of a node by which its members' mean agreement is measured.
@@ -216,7 +216,7 @@ def connected(links: DataFrame) -> DataFrame:
     """Rows (node, root) of all nodes in links (a, b): root is the same within a component, and one of its nodes.
 
     Every node points to its least neighbour if that is less than itself; pointers
-    are doubled twice, links are moved to where their ends point, and that repeats
+    are doubled, links are moved to where their ends point, and that repeats
     until no link is left. Nodes should be digests or other well-mixed keys: then a
     path shrinks by a factor each time, however long it is. A component of any size
     is spread over tasks.
@@ -227,10 +227,8 @@ def connected(links: DataFrame) -> DataFrame:
     while not left.isEmpty():
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         to = both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("to"))
-        to = materialize(to, "cc-pointers")
-        for _ in range(2):
-            onward = to.select(F.col("node").alias("to"), F.col("to").alias("next"))
-            to = materialize(to.join(onward, "to").select("node", F.col("next").alias("to")), "cc-pointers")
+        onward = to.select(F.col("node").alias("to"), F.col("to").alias("next"))
+        to = materialize(to.join(onward, "to").select("node", F.col("next").alias("to")), "cc-pointers")
 
         def moved(rows: DataFrame, column: str, to: DataFrame = to) -> DataFrame:
             met = rows.join(to.select(F.col("node").alias(column), F.col("to").alias("_to")), column, "left")
@@ -334,7 +332,7 @@ def _first_nodes(classes: DataFrame, n_trees: int) -> DataFrame:
     nodes = classes.select(F.explode(paths).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("node")
     nodes = materialize(nodes, "tree-shared")
     rows = classes.select("digest", *SKETCH, F.explode(paths).alias("node"))
-    rows = materialize(join_checked(rows, nodes, ["node"], "left_semi").select(*MEMBER), "tree-rows")
+    rows = materialize(rows.join(nodes, ["node"], "left_semi").select(*MEMBER), "tree-rows")
     discard(nodes)
     return rows
 
@@ -345,13 +343,13 @@ def _with_nodes(rows: DataFrame, comps: DataFrame | None) -> DataFrame:
     comps: (digest, comp) of linked classes; any other class is a component of its own.
     """
     own = F.xxhash64("digest")
-    rows = rows.withColumn("comp", own) if comps is None else join_checked(rows, comps, ["digest"], "left", FEW_ROWS).withColumn("comp", F.coalesce("comp", own))
+    rows = rows.withColumn("comp", own) if comps is None else rows.join(comps, ["digest"], "left").withColumn("comp", F.coalesce("comp", own))
     counts = rows.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("n"))
     nodes = counts.groupBy("node").agg(F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("top"))
     nodes = nodes.select("node", "n", F.col("top.comp").alias("major"), (F.col("n") - F.col("top.n")).alias("outside")).where(F.col("outside") > 0)
     nodes = materialize(nodes, "tree-nodes")
     # A join alone in its stage, so that a node with a large part of all rows can be split among tasks.
-    met = materialize(join_checked(rows, nodes, ["node"], "inner", FEW_ROWS), "tree-met")
+    met = materialize(rows.join(nodes, "node"), "tree-met")
     discard(nodes)
     return met
 
@@ -367,7 +365,7 @@ def _small_pairs(met: DataFrame, least: int) -> DataFrame:
         once = (F.col("comp") == F.col("major")) | (F.col("digest") < x["digest"])
         return (x["comp"] != F.col("comp")) & once & (_agreeing(_sketch_of(), [x[c] for c in SKETCH]) >= least)
 
-    pairs = join_checked(small, others, ["node"], "inner", FEW_ROWS // 32).select("digest", F.explode(F.filter("others", fits)).alias("x"))
+    pairs = small.join(others, "node").select("digest", F.explode(F.filter("others", fits)).alias("x"))
     return pairs.select(F.least("digest", "x.digest").alias("a"), F.greatest("digest", "x.digest").alias("b"))
 
 
@@ -377,10 +375,10 @@ def _drawn(met: DataFrame) -> DataFrame:
     draws = [F.min(F.struct(F.xxhash64("node", "digest", F.lit(k)), *SKETCH)).alias(f"x{k}") for k in range(DRAWN)]
     hubs = materialize(large.groupBy("node").agg(*draws), "tree-drawn")
     total = sum((_agreeing(_sketch_of(), _sketch_of(f"x{k}")) for k in range(DRAWN)), F.lit(0))
-    told = join_checked(large, hubs, ["node"], "inner", FEW_ROWS // 8).withColumn("mean", total / F.lit(float(DRAWN * TOKENS))).drop(*[f"x{k}" for k in range(DRAWN)])
+    told = large.join(hubs, "node").withColumn("mean", total / F.lit(float(DRAWN * TOKENS))).drop(*[f"x{k}" for k in range(DRAWN)])
     told = materialize(told, "tree-told")
     centres = materialize(told.groupBy("node").agg(F.max(F.struct("mean", "digest", "comp", *SKETCH)).alias("centre"), F.avg("mean").alias("density")), "tree-centres")
-    out = materialize(join_checked(told, centres, ["node"], "inner", FEW_ROWS // 8), "tree-large")
+    out = materialize(told.join(centres, "node"), "tree-large")
     discard(hubs, told, centres)
     return out
 
@@ -440,20 +438,18 @@ def chosen_path_links(docs: DataFrame, classes: DataFrame, percent: int, n_words
         found = _verified(docs, classes, pairs.distinct(), percent, n_words, "tree")
         if not found.isEmpty():
             links.append(found)
-            if depth < 2:  # links only settle pairs, and most are found by then
+            if not depth:  # links only settle pairs, and most are found at once
                 comps = _components(links)
         discard(rows, met)
         if not crowded:
             break
         # Links may have settled a node, or left few outside; such nodes aren't split.
-        again = _with_nodes(drawn.select(*MEMBER, "density"), comps)
-        discard(drawn)
+        again = drawn if depth or comps is None else _with_nodes(drawn.select(*MEMBER, "density"), comps)
         large, last = again.where(F.col("outside") > FEW), F.lit(depth + 1 >= MOST_DEPTH)
-        cores.append(materialize(large.where((F.col("density") >= DENSE) | last).select("digest", "node"), "tree-core"))
+        cores.append(large.where((F.col("density") >= DENSE) | last).select("digest", "node"))
         settling = again.where(F.col("outside") <= FEW).select(*MEMBER)
         rows = materialize(settling.unionByName(_branched(large.where((F.col("density") < DENSE) & ~last), classes)), "tree-rows")
-        discard(again)
-    if cores:
+    if cores and not _union(cores).isEmpty():
         links.append(_block_links(docs, classes, materialize(_cores(_union(cores), comps), "tree-parts"), BLOCK, percent, n_words))
     if not links:
         return docs.sparkSession.createDataFrame([], "a binary, b binary")
