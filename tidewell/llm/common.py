@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -50,10 +51,20 @@ def null_safe_key(name: str) -> list[Column]:
     return [F.col(name).isNull().alias("_key_null"), F.coalesce(F.col(name), F.lit(0)).cast("long").alias("_key")]
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers outlive their tasks, several to an executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: int, max_bytes: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Cut Arrow batches into slices of about max_bytes of text; null text is empty.
 
-    A slice holds at least one row, so one very long text is a slice of its own.
+    A slice holds at least one row, so one very long text is a slice of its own. After
+    the last one, memory is given back.
     """
     for batch in batches:
         lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
@@ -67,6 +78,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: int, max_bytes: int =
         if start < len(lengths):
             part = batch.slice(start)
             yield part, [x or "" for x in part.column(column).to_pylist()]
+    give_back()
 
 
 #: Rows of an Arrow batch of whole texts: Spark's own 10,000 of a few kilobytes each are tens of megabytes on both sides of a Python worker.

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import discard, join_checked, materialize, null_safe_key, table, text_batches, text_slices
+from tidewell.llm.common import discard, give_back, join_checked, materialize, null_safe_key, table, text_batches, text_slices
 
 #: Minwise tokens of a class.
 TOKENS = 64
@@ -279,6 +279,7 @@ def _forest(percent: int):
                     root[j] = start
                     edge.append(j)
                     found.append((digests[rows[i]], digests[rows[j]]))
+        give_back()
         return pa.table({"a": pa.array([x[0] for x in found], pa.binary()), "b": pa.array([x[1] for x in found], pa.binary())})
 
     return run

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import discard, join_checked, materialize, table, text_batches, text_slices
+from tidewell.llm.common import discard, give_back, join_checked, materialize, table, text_batches, text_slices
 
 #: Units of an n-gram, and bits of a unit.
 ORDER, BITS = 4, 16
@@ -185,6 +185,7 @@ def _sliced(packed: pa.Table) -> pa.Table:
         merge(lang)
     for lang, ((code,), (n,)) in held.items():
         rows.append((number, lang, None, *[None] * len(FIGURES), code.tobytes(), n.astype("<u4").tobytes()))
+    give_back()
     kinds = (pa.int32(), pa.string(), pa.binary(), *[pa.int64()] * len(FIGURES), pa.binary(), pa.binary())
     return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=[x.split()[0] for x in SLICED.split(", ")])
 
@@ -279,6 +280,7 @@ def sorted_arrays(model: DataFrame, n_parts: int) -> DataFrame:
     def stored(rows: pa.Table) -> pa.Table:
         key = rows.column("key").to_numpy().view(U64)
         order = np.argsort(key)
+        give_back()
         h = np.stack([rows.column(c).to_numpy()[order] for c in ("h0", "h1")], 1).astype("<f4")
         return pa.table({"part": rows.column("part").slice(0, 1), "keys": pa.array([key[order].tobytes()], pa.binary()), "h": pa.array([h.tobytes()], pa.binary())})
 
@@ -327,6 +329,8 @@ def _scored(packed: pa.Table, answers: pa.Table) -> pa.Table:
         code, h = known[lang]
         each = h[np.searchsorted(code, grams(text)), 1 - _fold(digest)].astype(np.float64) if text else np.zeros(0)
         rows.append((lang, digest, len(each), float(each.sum()), float((each * each).sum())))
+    known.clear()
+    give_back()
     kinds = (pa.string(), pa.binary(), pa.int64(), pa.float64(), pa.float64())
     return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["lang", "digest", "units", "bits", "squares"])
 
