@@ -34,7 +34,7 @@ from tidewell.llm.common import discard, give_back, join_checked, materialize, t
 #: Units of an n-gram, and bits of a unit.
 ORDER, BITS = 4, 16
 #: Text of a slice, entries of a part of the arrays, and n-grams that are looked up in a part together.
-SLICE_BYTES, PART_ENTRIES, ASKED_TOGETHER = 4 << 20, 400_000, 3_000_000
+SLICE_BYTES, PART_ENTRIES, ASKED_TOGETHER = 12 << 20, 400_000, 3_000_000
 #: The models read documents that pass the rules and have at most this share of symbols to words.
 MOST_SYMBOLS = 0.1
 #: The bands' reach below and above the middle, in robust deviations of the language's documents of that length. Noise lies hundreds above; passages in another language, keys or addresses lift a clean text by up to twenty.
@@ -227,19 +227,28 @@ def kneser_ney(counts: DataFrame, by: list[str]) -> DataFrame:
             return F.when(enough, F.greatest(F.lit(0.05 * k), F.least(F.lit(0.95 * k), best))).otherwise(0.5 * k).alias(f"d{f}{k}")
 
         ones = materialize(ones.select(*by, *[discount(f, k) for f in (0, 1) for k in (1, 2, 3)]), "ngram-discounts")
-        rows = join_checked(rows, ones, by, "inner", 100_000) if by else rows.crossJoin(F.broadcast(ones))  # one row
-        taken = [F.when(F.col(f"n{f}") == 0, 0.0).when(F.col(f"n{f}") == 1, F.col(f"d{f}1")).when(F.col(f"n{f}") == 2, F.col(f"d{f}2")).otherwise(F.col(f"d{f}3")).alias(f"d{f}") for f in (0, 1)]
-        rows = rows.select(*by, "gram", "n0", "n1", F.shiftrightunsigned("gram", BITS).alias("context"), *taken)
-        held = rows.groupBy(*by, "context").agg(*[F.sum(f"{x}{f}").alias(f"{y}{f}") for x, y in (("n", "total"), ("d", "left")) for f in (0, 1)])
-        rows = rows.join(held, [*by, "context"]).withColumn("rest", F.col("gram").bitwiseAND(mask(width - 1)))
+        def with_discounts(rows: DataFrame, ones: DataFrame = ones) -> DataFrame:
+            met = rows.join(F.broadcast(ones), by) if by and few else rows.join(ones, by) if by else rows.crossJoin(F.broadcast(ones))  # one row
+            taken = [F.when(F.col(f"n{f}") == 0, 0.0).when(F.col(f"n{f}") == 1, F.col(f"d{f}1")).when(F.col(f"n{f}") == 2, F.col(f"d{f}2")).otherwise(F.col(f"d{f}3")).alias(f"d{f}") for f in (0, 1)]
+            return met.select(*rows.columns, *taken)
+
+        few = bool(by) and ones.count() <= 100_000
+        # What is shuffled are counts; discounts are looked up on either side.
+        rows = rows.select(*by, "gram", "n0", "n1", F.shiftrightunsigned("gram", BITS).alias("context"))
+        sums = [F.sum(f"{x}{f}").alias(f"{y}{f}") for x, y in (("n", "total"), ("d", "left")) for f in (0, 1)]
+        held = with_discounts(rows).groupBy(*by, "context").agg(*sums)
+        rows = with_discounts(rows.join(held, [*by, "context"]))
+        parts = []
+        for f in (0, 1):
+            seen = F.col(f"total{f}") > 0
+            parts += [F.when(seen, (F.col(f"n{f}") - F.col(f"d{f}")) / F.col(f"total{f}")).otherwise(0.0).cast("float").alias(f"own{f}"), F.when(seen, F.col(f"left{f}") / F.col(f"total{f}")).otherwise(1.0).cast("float").alias(f"open{f}")]
+        rows = rows.select(*by, "gram", *parts)
         if lower is not None:
-            rows = rows.join(lower.withColumnRenamed("gram", "rest"), [*by, "rest"])
+            rows = rows.withColumn("rest", F.col("gram").bitwiseAND(mask(width - 1))).join(lower.withColumnRenamed("gram", "rest"), [*by, "rest"])
         out = []
         for f in (0, 1):
-            open_ = F.when(F.col(f"total{f}") > 0, F.col(f"left{f}") / F.col(f"total{f}")).otherwise(1.0)
-            own = F.when(F.col(f"total{f}") > 0, (F.col(f"n{f}") - F.col(f"d{f}")) / F.col(f"total{f}")).otherwise(0.0)
             a, b = (F.lit(0.0), F.lit(1.0)) if lower is None else (F.col(f"a{f}"), F.col(f"b{f}"))
-            out += [(own + open_ * a).alias(f"_a{f}"), (open_ * b).alias(f"_b{f}")]
+            out += [(F.col(f"own{f}") + F.col(f"open{f}") * a).cast("float").alias(f"_a{f}"), (F.col(f"open{f}") * b).cast("float").alias(f"_b{f}")]
         rows = rows.select(*by, "gram", *out)
         lower = materialize(rows.select(*by, "gram", *[F.col(f"_{x}{f}").alias(f"{x}{f}") for x in "ab" for f in (0, 1)]), "ngram-p")
     return lower
