@@ -205,8 +205,7 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: in
     sets = materialize(text_batches(texts.select("text")).mapInArrow(_sets(n_words), "digest binary, shingles binary"), f"{label}-sets")
     left = sets.select(F.col("digest").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("digest").alias("b"), F.col("shingles").alias("y"))
-    n, m = F.octet_length("x"), F.octet_length("y")
-    met = pairs.join(left, "a").join(right, "b").where(100 * F.least(n, m) >= percent * F.greatest(n, m))
+    met = pairs.join(left, "a").join(right, "b")
     links = materialize(met.select("a", "b", "x", "y").mapInArrow(_linked(percent), "a binary, b binary").distinct(), f"{label}-links")
     discard(pairs, wanted, sets)
     return links
@@ -324,7 +323,7 @@ def _block_links(docs: DataFrame, classes: DataFrame, rows: DataFrame, size: int
     return links
 
 
-MEMBER = ("digest", "node", *SKETCH)
+MEMBER = ("digest", "node", "size", *SKETCH)
 
 
 def _first_nodes(classes: DataFrame, n_trees: int) -> DataFrame:
@@ -332,8 +331,8 @@ def _first_nodes(classes: DataFrame, n_trees: int) -> DataFrame:
     paths = F.array(*[F.xxhash64(F.lit(t), *[F.element_at("tokens", ROOT * t + k + 1) for k in range(ROOT)]) for t in range(n_trees)])
     nodes = classes.select(F.explode(paths).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("node")
     nodes = materialize(nodes, "tree-shared")
-    rows = classes.select("digest", *SKETCH, F.explode(paths).alias("node"))
-    rows = materialize(rows.join(nodes, ["node"], "left_semi").select(*MEMBER), "tree-rows")
+    rows = classes.select("digest", F.col("n_shingles").cast("int").alias("size"), *SKETCH, F.explode(paths).alias("node"))
+    rows = materialize(join_checked(rows, nodes, ["node"], "left_semi").select(*MEMBER), "tree-rows")
     discard(nodes)
     return rows
 
@@ -355,16 +354,21 @@ def _with_nodes(rows: DataFrame, comps: DataFrame | None) -> DataFrame:
     return met
 
 
-def _small_pairs(met: DataFrame, least: int) -> DataFrame:
+def _sizes_fit(x: Column, y: Column, percent: int) -> Column:
+    """Whether sets of these sizes can be linked at all."""
+    return 100 * F.least(x, y) >= percent * F.greatest(x, y)
+
+
+def _small_pairs(met: DataFrame, least: int, percent: int) -> DataFrame:
     """Pairs (a, b) of small nodes: those outside the largest component with all members of other components whose sketches are alike."""
     small = met.where(F.col("outside") <= FEW)
-    others = small.where(F.col("comp") != F.col("major")).groupBy("node").agg(F.collect_list(F.struct("digest", "comp", *SKETCH)).alias("others"))
+    others = small.where(F.col("comp") != F.col("major")).groupBy("node").agg(F.collect_list(F.struct("digest", "comp", "size", *SKETCH)).alias("others"))
     others = materialize(others, "tree-others")
 
     def fits(x: Column) -> Column:
         # Two that are both among the others would meet twice.
         once = (F.col("comp") == F.col("major")) | (F.col("digest") < x["digest"])
-        return (x["comp"] != F.col("comp")) & once & (_agreeing(_sketch_of(), [x[c] for c in SKETCH]) >= least)
+        return (x["comp"] != F.col("comp")) & once & _sizes_fit(x["size"], F.col("size"), percent) & (_agreeing(_sketch_of(), [x[c] for c in SKETCH]) >= least)
 
     pairs = small.join(others, "node").select("digest", F.explode(F.filter("others", fits)).alias("x"))
     return pairs.select(F.least("digest", "x.digest").alias("a"), F.greatest("digest", "x.digest").alias("b"))
@@ -378,15 +382,15 @@ def _drawn(met: DataFrame) -> DataFrame:
     total = sum((_agreeing(_sketch_of(), _sketch_of(f"x{k}")) for k in range(DRAWN)), F.lit(0))
     told = large.join(hubs, "node").withColumn("mean", total / F.lit(float(DRAWN * TOKENS))).drop(*[f"x{k}" for k in range(DRAWN)])
     told = materialize(told, "tree-told")
-    centres = materialize(told.groupBy("node").agg(F.max(F.struct("mean", "digest", "comp", *SKETCH)).alias("centre"), F.avg("mean").alias("density")), "tree-centres")
+    centres = materialize(told.groupBy("node").agg(F.max(F.struct("mean", "digest", "comp", "size", *SKETCH)).alias("centre"), F.avg("mean").alias("density")), "tree-centres")
     out = materialize(told.join(centres, "node"), "tree-large")
     discard(hubs, told, centres)
     return out
 
 
-def _star_pairs(drawn: DataFrame, least: int) -> DataFrame:
+def _star_pairs(drawn: DataFrame, least: int, percent: int) -> DataFrame:
     """Pairs (a, b): every member with the one centre that it is most like, of the nodes it is in."""
-    like = drawn.where(F.col("comp") != F.col("centre.comp"))
+    like = drawn.where((F.col("comp") != F.col("centre.comp")) & _sizes_fit(F.col("size"), F.col("centre.size"), percent))
     like = like.select("digest", F.struct(_agreeing(_sketch_of(), _sketch_of("centre")).alias("agree"), F.col("centre.digest").alias("hub")).alias("best")).where(F.col("best.agree") >= least)
     like = like.groupBy("digest").agg(F.max("best").alias("best"))
     return like.select(F.least("digest", "best.hub").alias("a"), F.greatest("digest", "best.hub").alias("b"))
@@ -410,7 +414,7 @@ def _branched(large: DataFrame, classes: DataFrame) -> DataFrame:
         chosen = (F.pmod(F.xxhash64("node", F.lit(j)), F.lit(TOKENS)) + 1).cast("int")
         return F.xxhash64("node", F.lit(j), F.element_at("tokens", chosen))
 
-    return met.select("digest", *SKETCH, F.explode(F.array(*map(child, range(BRANCHES)))).alias("node")).select(*MEMBER)
+    return met.select("digest", "size", *SKETCH, F.explode(F.array(*map(child, range(BRANCHES)))).alias("node")).select(*MEMBER)
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -432,10 +436,10 @@ def chosen_path_links(docs: DataFrame, classes: DataFrame, percent: int, n_words
     for depth in range(MOST_DEPTH + 1):  # after the last, only nodes with few outside are left
         met = _with_nodes(rows, comps)
         crowded = not met.where(F.col("outside") > FEW).isEmpty()
-        pairs = _small_pairs(met, least)
+        pairs = _small_pairs(met, least, percent)
         if crowded:
             drawn = _drawn(met)
-            pairs = pairs.unionByName(_star_pairs(drawn, least))
+            pairs = pairs.unionByName(_star_pairs(drawn, least, percent))
         found = _verified(docs, classes, pairs.distinct(), percent, n_words, "tree")
         if not found.isEmpty():
             links.append(found)
