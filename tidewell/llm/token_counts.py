@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 from tidewell.llm.common import discard, join_checked, materialize, null_safe_key, scratch_path, table, text_batches, text_slices
 
+#: Rows with a digest that may be broadcast, once counted: 60 MB or so; more are shuffled.
+DIGEST_ROWS = 300_000
 CACHE_SCHEMA = "version string, digest binary, n_tokens long"
 
 _processors: dict[str, sentencepiece.SentencePieceProcessor] = {}
@@ -77,17 +79,17 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: i
     spark.createDataFrame([], CACHE_SCHEMA).write.mode("append").parquet(cache_path)
     known = materialize(cached(), "counts-known")
     # One row stands for each distinct content that the cache lacks; a hot content is summed before the shuffle.
-    wanted = join_checked(materialize(keyed.groupBy("digest").agg(F.min("doc_id").alias("doc_id")), "counts-distinct"), known.select("digest"), ["digest"], "left_anti")
+    wanted = join_checked(materialize(keyed.groupBy("digest").agg(F.min("doc_id").alias("doc_id")), "counts-distinct"), known.select("digest"), ["digest"], "left_anti", DIGEST_ROWS)
     wanted = materialize(wanted.select(*keys("doc_id")), "counts-wanted")
     texts = docs.select(content.alias("_text"), F.unhex(F.sha2(content, 256)).alias("digest"), *null_safe_key(id_col))
-    texts = join_checked(texts, wanted, ["_key_null", "_key", "digest"], "left_semi")
+    texts = join_checked(texts, wanted, ["_key_null", "_key", "digest"], "left_semi", DIGEST_ROWS)
     fresh = text_batches(texts.select("_text")).mapInArrow(_encode(tokenizer_path), "digest binary, n_tokens long")
     # A repeated row may stand for its content twice.
     fresh = materialize(fresh.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "counts-fresh")
     fresh.select(F.lit(version).alias("version"), "digest", "n_tokens").write.mode("append").parquet(cache_path)
     every = materialize(known.unionByName(fresh), "counts-all")
     # A join alone in its stage: a hot content's rows can be split among tasks.
-    counted = join_checked(keyed, every, ["digest"], "inner")
+    counted = join_checked(keyed, every, ["digest"], "inner", DIGEST_ROWS)
     discard(known, wanted, fresh)
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
